@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .tokens import VOCABULARY, encoding
 from .words import slices, words
 
-LEAST, RATIO = 16, 2.2
+LEAST, RATIO = 16, 2.5
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _KEY = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
