@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import buckets
+from .shared import buckets, tidy
 from .tokens import SLICE, VOCABULARY, encoding, tokenizer, vocabulary_bytes
 from .words import slices
 
@@ -176,10 +176,10 @@ def encode(docs: DataFrame, path: str = VOCABULARY, long_document: int = LONG_DO
         return pa.table(columns, names)
 
     is_long = F.coalesce(F.length("text"), F.lit(0)) > long_document
-    few = base.where(~is_long).mapInArrow(short, schema)
+    few = base.where(~is_long).mapInArrow(tidy(short), schema)
     # xxhash64 of the text keeps apart different long texts under one id.
-    many = base.where(is_long).select("doc_id", F.concat_ws(":", F.xxhash64("text"), F.length("text")).alias("row"), "text").mapInArrow(split, "doc_id long, row string, leaf int, text string")
-    many = many.repartition(buckets(docs.sparkSession), "doc_id", "leaf").mapInArrow(each_leaf, "doc_id long, row string, leaf int, text string, ids array<int>")
+    many = base.where(is_long).select("doc_id", F.concat_ws(":", F.xxhash64("text"), F.length("text")).alias("row"), "text").mapInArrow(tidy(split), "doc_id long, row string, leaf int, text string")
+    many = many.repartition(buckets(docs.sparkSession), "doc_id", "leaf").mapInArrow(tidy(each_leaf), "doc_id long, row string, leaf int, text string, ids array<int>")
     return few.unionByName(many.groupBy("doc_id", "row").applyInArrow(join, schema))
 
 
@@ -208,7 +208,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
             text = [None if null[k] else data[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace") for k in range(len(lists))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(each, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(each), "doc_id long, text string")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

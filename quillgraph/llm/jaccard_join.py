@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import PACKED, Packer, buckets, exchanged, gathered, join48, kept, packed_batch, place, repeated, runs, split48, texts, unpacked
+from .shared import PACKED, Packer, buckets, exchanged, gathered, join48, kept, packed_batch, place, repeated, runs, split48, texts, tidy, unpacked
 from .words import gram_at, grams, mix, slices, words
 
 N, THRESHOLD = 3, 0.5
@@ -294,20 +294,20 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
         raise ValueError("threshold is in (0, 1] and n is positive")
     spark = docs.sparkSession
     parts = buckets(spark)
-    spread = exchanged(texts(docs).mapInArrow(_spread(n, parts), PACKED), parts)
-    shared = exchanged(spread.mapInArrow(_shared_only(parts), PACKED), parts)
-    sets = kept(shared.mapInArrow(_reduced(threshold), _SETS))
+    spread = exchanged(texts(docs).mapInArrow(tidy(_spread(n, parts)), PACKED), parts)
+    shared = exchanged(spread.mapInArrow(tidy(_shared_only(parts)), PACKED), parts)
+    sets = kept(shared.mapInArrow(tidy(_reduced(threshold)), _SETS))
     leads = sets.groupBy("sig", "size").agg(F.min("doc_id").alias("lead"))
     copies = sets.select("doc_id", "sig", "size").join(leads, ["sig", "size"]).where("doc_id <> lead").select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     leaders = kept(sets.join(leads.select(F.col("lead").alias("doc_id")), "doc_id", "left_semi"))
-    matrix = exchanged(leaders.select("doc_id", "size", "grp", "n", "low", "high").mapInArrow(_matrix_entries(threshold, parts), PACKED), parts)
+    matrix = exchanged(leaders.select("doc_id", "size", "grp", "n", "low", "high").mapInArrow(tidy(_matrix_entries(threshold, parts)), PACKED), parts)
     t = F.lit(float(threshold))
     needed = F.floor(F.ceil(t * F.ceil(t * F.col("size") - 1e-9) - 1e-9) / 16) + 1
-    opened = matrix.mapInArrow(_overlaps(threshold), "doc_id long, grp long, c int, size int").groupBy("doc_id", "grp").agg(F.sum("c").alias("c"), F.max("size").alias("size")).where(F.col("c") >= needed)
+    opened = matrix.mapInArrow(tidy(_overlaps(threshold)), "doc_id long, grp long, c int, size int").groupBy("doc_id", "grp").agg(F.sum("c").alias("c"), F.max("size").alias("size")).where(F.col("c") >= needed)
     members = leaders.select("grp", F.lit(0).alias("role"), "doc_id", "size", "low", "high")
     queries = leaders.drop("grp").join(opened.select("doc_id", "grp"), "doc_id").select("grp", F.lit(1).alias("role"), "doc_id", "size", "low", "high")
     both = members.unionByName(queries).repartition(parts, "grp").sortWithinPartitions("grp")
-    near = both.mapInArrow(_opened(threshold), "doc_a long, doc_b long, jaccard double")
+    near = both.mapInArrow(tidy(_opened(threshold)), "doc_a long, doc_b long, jaccard double")
     return copies.unionByName(near)
 
 
@@ -339,7 +339,7 @@ def components(pairs: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     Each partition first shrinks to a spanning forest; then large-star and small-star steps (Kiveris et al., 2014) run
     on tables written in the shared folder until nothing changes. Raises if that takes more than ``rounds`` rounds.
     """
-    edges = kept(pairs.select(F.col(a).alias("v"), F.col(b).alias("u")).mapInArrow(_forest, "v long, u long").distinct())
+    edges = kept(pairs.select(F.col(a).alias("v"), F.col(b).alias("u")).mapInArrow(tidy(_forest), "v long, u long").distinct())
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import PACKED, kept, packed_batch, sample_ids
+from .shared import PACKED, kept, packed_batch, sample_ids, tidy
 
 K, CELL_ROWS = 10, 4000
 _OUT = "vec_id long, neighbor_id long, rank int, distance double"
@@ -60,7 +60,7 @@ def nearest(vectors: DataFrame, k: int = K, cell_rows: int = CELL_ROWS) -> DataF
             d = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cell.astype(np.int32)), pa.array(d), batch.column("v")], ["vec_id", "cell", "d", "v"])
 
-    cells = kept(data.mapInArrow(assign, "vec_id long, cell int, d double, v array<double>"))
+    cells = kept(data.mapInArrow(tidy(assign), "vec_id long, cell int, d double, v array<double>"))
     radius = np.full(len(pivots), -1.0)
 
     def least(batches):
@@ -74,7 +74,7 @@ def nearest(vectors: DataFrame, k: int = K, cell_rows: int = CELL_ROWS) -> DataF
                 held[c] = np.sort(np.concatenate((held.get(c, np.zeros(0)), own)))[: k + 1]
         yield pa.RecordBatch.from_arrays([pa.array([int(c) for c in held], pa.int32()), pa.array([far[c] for c in held], pa.float64()), pa.array([held[c].tolist() for c in held], pa.list_(pa.float64()))], ["cell", "far", "least"])
 
-    summary = cells.select("cell", "d").mapInArrow(least, "cell int, far double, least array<double>")
+    summary = cells.select("cell", "d").mapInArrow(tidy(least), "cell int, far double, least array<double>")
     summary = summary.groupBy("cell").agg(F.max("far").alias("far"), F.slice(F.array_sort(F.flatten(F.collect_list("least"))), 1, k + 1).alias("least")).collect()
     close: list[np.ndarray] = [np.zeros(0)] * len(pivots)
     for row in summary:
@@ -130,8 +130,8 @@ def nearest(vectors: DataFrame, k: int = K, cell_rows: int = CELL_ROWS) -> DataF
             top = rank < want
             yield pa.RecordBatch.from_arrays([pa.array(ids[q[row[top]]]), pa.array(ids[col[top]]), pa.array((rank[top] + 1).astype(np.int32)), pa.array(np.sqrt(d[top]))], ["vec_id", "neighbor_id", "rank", "distance"])
 
-    groups = cells.mapInArrow(replicate, PACKED).repartitionById(len(pivots), F.col("bucket"))
-    return groups.mapInArrow(solve, _OUT)
+    groups = cells.mapInArrow(tidy(replicate), PACKED).repartitionById(len(pivots), F.col("bucket"))
+    return groups.mapInArrow(tidy(solve), _OUT)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

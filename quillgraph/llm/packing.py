@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import buckets as parts_of
-from .shared import kept
+from .shared import kept, release
 from .tokens import VOCABULARY, column_counts
 
 BUCKETS, BUDGET = 16, 16_384
@@ -32,7 +32,9 @@ def lengths(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     @F.arrow_udf("long")
     def count(text: pa.Array) -> pa.Array:
-        return pa.array(column_counts(text, path))
+        counts = column_counts(text, path)
+        release()
+        return pa.array(counts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), count(F.col("text").cast("string")).alias("n_tokens"))
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import release, tidy
 from .words import slices
 
 THRESHOLD, REACH = 0.5, 48
@@ -124,7 +125,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "kind", "start", "end", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, kind string, start int, end int, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(each), "doc_id long, kind string, start int, end int, score double")
 
 
 def redacted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -145,7 +146,9 @@ def redacted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 changed[k] = "".join([*out, t[at:]])
         if not changed:
             return text
-        return pa.array([changed.get(k, t) for k, t in enumerate(text.to_pylist())], pa.string())
+        out = pa.array([changed.get(k) if k in changed else text[k].as_py() for k in range(len(text))], pa.string())
+        release()
+        return out
 
     out = docs.withColumn("text", hide(docs["text"].cast("string")))
     if "n_chars" in docs.columns:

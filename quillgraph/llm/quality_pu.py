@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import sample_ids
+from .shared import release, sample_ids, tidy
 from .stats import NAMES, slice_stats
 from .words import Slice, slices, words
 
@@ -97,6 +97,7 @@ def score_column(model: Model | None, text: Column) -> Column:
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
         parts = [_score_part(p, model) for p in slices(column)]
+        release()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return score(text)
@@ -115,7 +116,7 @@ def _features(docs: DataFrame, ids: DataFrame, bits: int) -> list[tuple[np.ndarr
                 yield pa.RecordBatch.from_arrays([ids, pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "stats", "words"])
 
     chosen = docs.select("doc_id", "text").where("length(text) > 0").join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = chosen.mapInArrow(each, "doc_id long, stats binary, words binary").toArrow()
+    rows = chosen.mapInArrow(tidy(each), "doc_id long, stats binary, words binary").toArrow()
     kind = np.uint16 if bits <= 16 else np.uint32
     seen, out = set(), []
     for i, s, w in sorted(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "stats", "words")), strict=True)):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import sample_ids
+from .shared import release, sample_ids, tidy
 from .stats import NAMES, column_stats
 
 MONOTONIC = {"symbol_ratio": -1, "pipe_ratio": -1, "bang_ratio": -1, "repeat_next_ratio": -1, "repeat_line_ratio": -1, "symbol_word_ratio": -1, "upper_ratio": -1, "distinct_ratio": 1}
@@ -136,7 +136,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np
             x = column_stats(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "stats"])
 
-    table = rows.select("doc_id", "quality", "text").mapInArrow(each, "doc_id long, quality int, stats binary").toArrow()
+    table = rows.select("doc_id", "quality", "text").mapInArrow(tidy(each), "doc_id long, quality int, stats binary").toArrow()
     once = sorted(set(zip(*(table.column(c).to_pylist() for c in ("doc_id", "quality", "stats")), strict=True)))
     x = np.stack([np.frombuffer(r[2], np.float64) for r in once]) if once else np.zeros((0, len(NAMES)))
     return x, np.array([r[1] for r in once], float)
@@ -153,6 +153,7 @@ def score_column(forest: Forest | None, text: Column) -> Column:
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
         x = column_stats(column)
+        release()
         p = 1 / (1 + np.exp(-forest.score(x))) if forest is not None else np.full(len(x), 0.5)
         return pa.array(np.where(np.any(x != 0, axis=1), p, 0.0))
 

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import tidy
 from .tokens import SLICE, VOCABULARY, encoding, tokenizer
 from .words import slices
 
@@ -142,7 +143,7 @@ def shards(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS, least:
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *lists, pa.array([row[4]], pa.int32()), pa.array([row[5]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[6:])], [c.split()[0] for c in SHARD.split(", ")])
                 number += 1
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, SHARD)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(each), SHARD)
 
 
 def decode(sharded: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def decode(sharded: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(n < 0, False)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), lists], ["doc_id", "ids"])
 
-    return sharded.mapInArrow(each, "doc_id long, ids array<int>")
+    return sharded.mapInArrow(tidy(each), "doc_id long, ids array<int>")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

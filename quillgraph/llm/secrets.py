@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import tidy
 from .tokens import VOCABULARY, encoding
 from .words import slices, words
 
@@ -77,7 +78,7 @@ def scan(docs: DataFrame, least: int = LEAST, ratio: float = RATIO, path: str =
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "start", "end", "n_tokens", "chars_per_token"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, start int, end int, n_tokens int, chars_per_token double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(each), "doc_id long, start int, end int, n_tokens int, chars_per_token double")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

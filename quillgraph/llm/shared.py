@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,30 @@ TOKENIZERS = "/opt/tokenizers"
 _kept: list[tuple[SparkSession, str]] = []
 
 
+try:  # glibc: large arrays go back to the system when they are freed, and Arrow's buffers with them
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 8 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
+except (OSError, AttributeError):
+    _libc = None
+
+
+def tidy(each: Callable) -> Callable:
+    """A function over batches that gives back its worker's free memory at the end: workers outlive tasks."""
+
+    @functools.wraps(each)
+    def wrapped(batches):
+        yield from each(batches)
+        release()
+
+    return wrapped
+
+
+def release() -> None:
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import PACKED, Packer, buckets, exchanged, gathered, join48, kept, place, repeated, split48, texts, unpacked
+from .shared import PACKED, Packer, buckets, exchanged, gathered, join48, kept, place, release, repeated, split48, texts, tidy, unpacked
 from .words import gram_at, slices, words
 
 MIN_WORDS = 50
@@ -154,13 +154,13 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if min_words < PERIOD:
         raise ValueError(f"min_words must be at least {PERIOD}, the period of the difference cover")
     parts = buckets(docs.sparkSession)
-    sample = exchanged(texts(docs).mapInArrow(_sample(min_words - PERIOD + 1, parts), PACKED), parts)
-    tied = exchanged(sample.mapInArrow(_tied(parts), PACKED), parts)
-    places = kept(tied.mapInArrow(_places, "doc_id long, places binary"))
+    sample = exchanged(texts(docs).mapInArrow(tidy(_sample(min_words - PERIOD + 1, parts)), PACKED), parts)
+    tied = exchanged(sample.mapInArrow(tidy(_tied(parts)), PACKED), parts)
+    places = kept(tied.mapInArrow(tidy(_places), "doc_id long, places binary"))
     near = texts(docs).join(places.hint("shuffle_hash"), "doc_id")
-    block = exchanged(near.mapInArrow(_suffixes(min_words, parts), PACKED), parts)
-    runs = exchanged(block.mapInArrow(_blocks(parts), PACKED), parts)
-    return runs.mapInArrow(_spans(min_words), "doc_id long, first_doc long, start_word long, end_word long")
+    block = exchanged(near.mapInArrow(tidy(_suffixes(min_words, parts)), PACKED), parts)
+    runs = exchanged(block.mapInArrow(tidy(_blocks(parts)), PACKED), parts)
+    return runs.mapInArrow(tidy(_spans(min_words)), "doc_id long, first_doc long, start_word long, end_word long")
 
 
 def cut(text: str | None, spans: list[tuple[int, int]] | None) -> str | None:
@@ -192,7 +192,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     @F.arrow_udf("string")
     def trim(text: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([t if not s else cut(t, [(x["start_word"], x["end_word"]) for x in s]) for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+        out = pa.array([cut(text[k].as_py(), [(x["start_word"], x["end_word"]) for x in s] if s else None) for k, s in enumerate(spans.to_pylist())], pa.string())
+        release()
+        return out
 
     joined = docs.join(spans, docs["doc_id"].cast("long") == spans["__quill_id"], "left")
     touched = F.col("__quill_spans").isNotNull()

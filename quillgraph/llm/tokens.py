@@ -24,7 +24,7 @@ VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_UNIT = 4096  # bytes; longer units are encoded by parts and joined, see bpe_tree
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-SLICE = 3 << 20  # bytes of text among which distinct units are sought
+SLICE = 1 << 21  # bytes of text among which distinct units are sought
 
 
 @functools.cache
