@@ -76,12 +76,12 @@ def enriched(references: DataFrame, first: DataFrame, second: DataFrame, config:
     pack = lambda df, name: df.select("id", F.struct(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in fields]).alias(name))
     both = pack(a, "a").join(pack(b, "b"), "id", "left")
     use_b = F.col("a.miss_reason").isNotNull() & F.col("b.source").isNotNull() & (F.col("b.miss_reason").isNull() | (_urgency(F.col("b.miss_reason")) > _urgency(F.col("a.miss_reason"))))
-    picked = both.select("id", F.when(use_b, F.col("b")).otherwise(F.col("a")).alias("m")).select("id", "m.*")
+    picked = both.select("id", F.when(use_b, F.col("b")).otherwise(F.col("a")).alias("m")).select("id", "m.*").withColumnRenamed("journal", "found_journal")
     hit = F.col("miss_reason").isNull()
     out = references.join(picked, "id", "left")
     new = {"enrichment_status": F.when(hit, "matched").otherwise("unmatched"), "enrichment_source": F.when(hit, F.col("source")), "doi": F.when(hit, F.nullif("doi", F.lit("")))}
     if "Journal" in references.columns:
-        new["Journal"] = F.when(hit, F.coalesce(F.nullif("journal", F.lit("")), references["Journal"])).otherwise(references["Journal"])
+        new["Journal"] = F.when(hit, F.coalesce(F.nullif("found_journal", F.lit("")), references["Journal"])).otherwise(references["Journal"])
     keep = [c for c in references.columns if c not in new]
     return out.select(*[references[c] for c in keep], *[e.alias(n) for n, e in new.items()], F.col("miss_reason").alias("enrichment_miss_reason"), *[F.col(c).alias(f"enrichment_{c}") for c in ("title_score", "adjusted_score", "candidate_title", "year_match", "year_delta")], F.when(hit, F.col("OpenAlex_Authors")).alias("OpenAlex_Authors"))
 
