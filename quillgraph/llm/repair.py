@@ -6,7 +6,8 @@ instead of one, so that a round is a few numpy passes). No pair reaches over a d
 how many ids every nonterminal expands to, its codes, and each document's ends in codes and ids; so any range of ids of
 any document is decoded from the codes that cover it alone.
 
-Codes have 16 bits where vocabulary and rules fit, else 32. Nothing is shuffled.
+Codes have 16 bits if the vocabulary leaves names for a thousand rules or more, and then no more rules are made than there are
+names; else 32. Nothing is shuffled.
 
 Edge cases: a null text is kept as null (its count is -1), an empty one as no ids; null doc_ids and rows that repeat are
 stored as they come; an empty table gives no shards; other columns are unread.
@@ -24,14 +25,16 @@ from .shared import tidy
 from .tokens import SLICE, VOCABULARY, encoding, tokenizer
 from .words import slices
 
-ROUNDS, LEAST, NEW = 8, 24, 2000
+ROUNDS, LEAST, NEW = 10, 12, 2000
 SHARD = "shard long, doc_ids array<long>, n_tokens array<int>, code_ends array<int>, first_code int, width int, rules binary, expansions binary, codes binary"
 _SLOTS = 1 << 20
 
 
 def grammar(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST, new: int = NEW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules (a pair of codes each), expansion lengths of the nonterminals, codes, and the documents' ends in codes."""
-    wide = first + rounds * new > 1 << 16
+    room = (1 << 16) - first  # rules that 16-bit codes leave names for
+    wide = room < 1024
+    room = rounds * new if wide else room
     kind = np.uint32 if wide else np.uint16
     key_kind, shift, factor = (np.uint64, np.uint64(32), np.uint64(0x9E3779B97F4A7C15)) if wide else (np.uint32, np.uint32(16), np.uint32(2654435761))
     down = key_kind((64 if wide else 32) - 20)
@@ -42,7 +45,7 @@ def grammar(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS,
     rules: list[np.ndarray] = []
     expansion = np.ones(first, np.int32)
     for _ in range(rounds):
-        if len(seq) < 2 * least:
+        if len(seq) < 2 * least or room < 1:
             break
         key = (seq[:-1].astype(key_kind) << shift) | seq[1:]
         slot = ((key * factor) >> down).astype(np.int32)
@@ -55,14 +58,20 @@ def grammar(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS,
         at, slot_at = at[match], slot_at[match]
         count = np.bincount(slot_at, minlength=_SLOTS)
         top = np.flatnonzero(count >= least)
-        if len(top) > new:
-            top = top[np.argsort(-count[top], kind="stable")[:new]]
+        if len(top) > min(new, room):
+            top = top[np.argsort(-count[top], kind="stable")[: min(new, room)]]
         chosen = np.zeros(_SLOTS, bool)
         chosen[top] = True
-        at = at[chosen[slot_at]]
+        here = chosen[slot_at]
+        at, often = at[here], count[slot_at[here]]
         if not len(at):
             break
-        # Of overlapping pairs every second one, from the left.
+        # Of overlapping pairs the most frequent; of equals every second one, from the left.
+        touch = at[1:] == at[:-1] + 1
+        best = np.ones(len(at), bool)
+        best[1:] &= ~(touch & (often[:-1] > often[1:]))
+        best[:-1] &= ~(touch & (often[1:] > often[:-1]))
+        at = at[best]
         start = np.concatenate(([True], at[1:] != at[:-1] + 1))
         begin = np.flatnonzero(start)
         order = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
@@ -73,6 +82,7 @@ def grammar(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS,
             break
         name = np.full(_SLOTS, -1, np.int64)
         name[names] = first + sum(map(len, rules)) + np.arange(len(names))
+        room -= len(names)
         at = at[name[slot[at]] >= 0]
         pair = np.stack([held[names] >> shift, held[names] & key_kind((1 << int(shift)) - 1)], 1).astype(kind)
         rules.append(pair)
