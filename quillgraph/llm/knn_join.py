@@ -31,6 +31,8 @@ _OUT = "vec_id long, neighbor_id long, rank int, distance double"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, 1))
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
