@@ -59,6 +59,8 @@ class UnitTokenizer:
         _, end = bounds(data, off)
         # A unit ends where a word does; white space left at a document's end is one of its own.
         tails = off[1:][np.diff(off) > 0]
+        if not len(tails):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64)
         end = np.sort(np.concatenate((end, tails[SPACE[data[tails - 1]]])))
         start = np.concatenate(([0], end[:-1])).astype(np.int64)
         doc = np.searchsorted(off, start, "right") - 1
