@@ -223,11 +223,12 @@ def _take(x: tuple, rows: np.ndarray) -> tuple:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, options: Options = Options(), score: str | None = None) -> DataFrame:
-    """The documents with a score of at least 0, in docs' own columns; ``score`` names an added column, if given."""
+    """The documents with a score of at least 0, in docs' own columns; ``score`` names an added column, if given, which
+    takes the place of one that docs has by that name."""
     model = fit(docs, labels, options)
     scored = docs.select("*", score_column(model, docs["text"].cast("string")).alias("__quill_score"))
     kept = scored.where(F.col("__quill_score") >= 0)
-    return kept.withColumnRenamed("__quill_score", score) if score else kept.drop("__quill_score")
+    return (kept.withColumn(score, F.col("__quill_score")) if score else kept).drop("__quill_score")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,7 +161,8 @@ def score_column(forest: Forest | None, text: Column) -> Column:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, options: Options = Options(), score: str = "score") -> DataFrame:
-    """The documents that the rules keep, in docs' own columns, with their probability of quality."""
+    """The documents that the rules keep, in docs' own columns, with their probability of quality as ``score``, in the
+    place of a column of that name if there is one."""
     forest = fit(docs, labels, options)
     return docs.withColumn(score, score_column(forest, docs["text"].cast("string"))).where(F.col(score) >= options.threshold)
 
