@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .operators import dedup as dd
+from .operators import enrich as en
 from .plans.pipeline import Config, Pipeline, estimate_totals, summary_text
 from .sources import files, schema
 
 
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quillgraph")
-    p.add_argument("stage", choices=["run", "estimate", "metadata", "references", "dedup", "authors", "status"])
+    p.add_argument("stage", choices=["run", "estimate", "convert", "metadata", "references", "dedup", "enrich", "authors", "status"])
     p.add_argument("out", help="output folder")
     p.add_argument("--raw", help="dedup: a CSV of raw references instead of the folder's table")
+    p.add_argument("--pdfs", help="convert: the folder of PDF files")
+    p.add_argument("--converter", help="convert: module:function of (path, ocr) that gives markdown")
+    p.add_argument("--ocr", choices=["no", "yes", "auto"], default="no")
+    p.add_argument("--recursive", action="store_true")
+    p.add_argument("--crossref", help="enrich: JSON lines of (ref_id, pos, raw)")
+    p.add_argument("--openalex", help="enrich: JSON lines of (ref_id, pos, raw)")
     p.add_argument("--threshold", type=float, default=dd.DedupConfig.threshold)
     p.add_argument("--year-window", type=int, default=dd.DedupConfig.year_window)
     p.add_argument("--mode", choices=["strict", "loose"], default="strict")
@@ -33,17 +40,29 @@ def main(args: list[str] | None = None) -> int:
             print(line.extract_references().count(), "references")
         elif a.stage == "dedup":
             if a.raw:
-                raw = files.read_table(spark, a.raw, schema.RAW_REFERENCES).withColumn("Authors_List", F.col("Authors_List"))
+                raw = files.read_table(spark, a.raw, schema.RAW_REFERENCES)
                 files.write_table(raw, line.at.at("raw"))
             table, edges = line.deduplicate()
             print(table.count(), "references,", edges.count(), "edges")
+        elif a.stage == "convert":
+            if not a.pdfs or not a.converter:
+                raise ValueError("convert needs --pdfs and --converter")
+            module, _, name = a.converter.partition(":")
+            ocr = {"no": False, "yes": True}.get(a.ocr, "auto")
+            print(line.convert(a.pdfs, getattr(importlib.import_module(module), name), ocr, a.recursive), "files")
+        elif a.stage == "enrich":
+            if not a.crossref or not a.openalex:
+                raise ValueError("enrich needs --crossref and --openalex")
+            first, second = (spark.read.schema("ref_id string, pos int, raw string").json(x) for x in (a.crossref, a.openalex))
+            done = line.enrich(en.crossref(first), en.openalex(second))
+            print(en.misses(done).count(), "of", done.count(), "references without a match")
         elif a.stage == "authors":
             print(line.normalize_authors()[0].count(), "authors")
         elif a.stage == "run":
             line.run()
         for name, n in line.status().items():
             print(f"{name}: {'-' if n is None else n}")
-    except (files.StageNotReady, ValueError) as e:
+    except (files.StageNotReady, NotADirectoryError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
     return 0

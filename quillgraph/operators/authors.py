@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import names
 from ..functions import text as tx
-from ..sources.files import cut
+from ..sources.files import cut, numbered
 
 _OCCURRENCE = (
     "ord long, record_kind string, record_id string, position int, citing_paper_id string, raw_author string, surname string, surname_norm string, "
@@ -215,12 +215,10 @@ def reference_citers(edges: DataFrame) -> DataFrame:
 
 def normalize_authors(references: DataFrame, papers: DataFrame | None = None, edges: DataFrame | None = None, aliases: DataFrame | None = None, mode: str = "strict") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(authors, author_citations, review) of a corpus. ``ord`` is taken from the tables or given by id."""
-    def numbered(df: DataFrame, base: int) -> DataFrame:
-        return df if "ord" in df.columns else df.withColumn("ord", F.row_number().over(Window.orderBy("id")) + base)
-
-    occ = occurrences(numbered(references, 0), "reference")
+    order = lambda df: df if "ord" in df.columns else numbered(df, "id")
+    occ = occurrences(order(references), "reference")
     if papers is not None:
-        more = occurrences(numbered(papers, 0), "paper").withColumn("ord", F.col("ord") + F.lit(1 << 50))
+        more = occurrences(order(papers), "paper").withColumn("ord", F.col("ord") + F.lit(1 << 50))
         occ = occ.unionByName(more)
     table, cites = authors_table(cut(clustered(occ, mode)), edges)
     looked = review(table, cites)

@@ -160,10 +160,10 @@ class Pipeline:
     def extract_metadata(self) -> DataFrame:
         content = files.read_markdown(self.spark, self.at.at("markdown")).withColumn("content", tx.metadata_input(F.col("content"), self.config.metadata_chars))
         found = files.cut(self._extracted("metadata", self._metadata, content, 2))
-        files.write_failures(failures(found, "metadata"), self.at.at("failures"))
+        files.write_failures(failures(found, "metadata"), self.at.at("metadata_failures"))
         files.write_table(papers_of(found).select("Title", "Authors_List", "Journal", "Year", "Authors", "source_file", "id"), self.at.at("papers"))
         papers = self._table("papers", schema.PAPERS)
-        files.write_sidecar(dd.source_duplicates(papers.withColumn("ord", F.row_number().over(dd.Window.orderBy("source_file")))), f"{self.at.at('reports')}/source_duplicates.json")
+        files.write_sidecar(dd.source_duplicates(files.numbered(papers, "source_file")), f"{self.at.at('reports')}/source_duplicates.json")
         return papers
 
     def extract_references(self) -> DataFrame:
@@ -172,7 +172,7 @@ class Pipeline:
         section = tx.reference_section(F.col("content"))
         found = files.cut(self._extracted("references", self._references, content.select("source_file", F.coalesce(section, F.col("content")).alias("content")), 1))
         bad = failures(found, "references")
-        files.write_failures(bad, self.at.at("failures"))
+        files.write_failures(bad, self.at.at("reference_failures"))
         files.write_table(raw_references_of(found, papers), self.at.at("raw"))
         raw = self._table("raw", schema.RAW_REFERENCES)
         files.write_sidecar(dd.without_references(papers, raw, bad).select("id", "source_file"), f"{self.at.at('reports')}/papers_without_references.json")
@@ -181,7 +181,7 @@ class Pipeline:
     def deduplicate(self) -> tuple[DataFrame, DataFrame]:
         raw = self._table("raw", schema.RAW_REFERENCES)
         schema.require_columns(raw, ["Title", "Authors_List", "Journal", "Year", "citing_id"], "references_raw")
-        records = files.cut(raw.withColumn("ord", F.row_number().over(dd.Window.orderBy("citing_id", "Title", "Authors")).cast("long")))
+        records = files.cut(files.numbered(raw, "citing_id", "Title", "Authors", "Journal", "Year"))
         table, mapping = dd.canonical(records, dd.cluster(records, self.config.dedup))
         mapping = files.cut(mapping)
         files.write_table(table.select("id", "Authors", "Title", "Authors_List", "Journal", "Year"), self.at.at("canonical"))

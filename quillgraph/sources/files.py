@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, *order: str, name: str = "ord") -> DataFrame:
+    """df with its rows' ordinals from 0 by the given columns. Rows are range-partitioned and numbered in their partitions;
+    only the partitions' sizes meet in one place. Rows that are equal in all those columns are in any order among themselves."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__seq": F.monotonically_increasing_id()})
+    placed = cut(placed)
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__seq").alias("__first"))
+    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n") - F.col("__first")
+    return placed.join(F.broadcast(sizes.select("__part", before.alias("__shift"))), "__part").withColumn(name, F.col("__seq") + F.col("__shift")).drop("__part", "__seq", "__shift")
+
+
 @dataclass(frozen=True)
 class Layout:
     """Where each artifact lies under an output folder."""
@@ -47,7 +57,7 @@ class Layout:
     root: str
 
     def at(self, name: str) -> str:
-        places = {"markdown": "markdown", "metadata": "metadata", "references": "references", "reports": "reports", "papers": "papers.parquet", "raw": "references_raw.parquet", "canonical": "references.parquet", "graph": "citation_graph.parquet", "enriched": "enriched_references.parquet", "authors": "authors.parquet", "author_citations": "author_citations.parquet", "aliases": "author_aliases.csv", "review": "author_review.json", "failures": "failures.jsonl", "manifest": "manifest.json", "summary": "run_summary.json"}
+        places = {"markdown": "markdown", "metadata": "metadata", "references": "references", "reports": "reports", "papers": "papers.parquet", "raw": "references_raw.parquet", "canonical": "references.parquet", "graph": "citation_graph.parquet", "enriched": "enriched_references.parquet", "authors": "authors.parquet", "author_citations": "author_citations.parquet", "aliases": "author_aliases.csv", "review": "author_review.json", "metadata_failures": "metadata_failures.jsonl", "reference_failures": "reference_failures.jsonl", "manifest": "manifest.json", "summary": "run_summary.json"}
         return f"{self.root.rstrip('/')}/{places[name]}"
 
     def ensure(self) -> Layout:
@@ -241,5 +251,3 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
         lines = [line.split("#")[0].split(",") for line in f]
     pairs = {x[0].strip(): x[1].strip() for x in lines if len(x) >= 2 and x[0].strip() and x[1].strip() and x[0].strip().lower() != "cluster_id"}
     return spark.createDataFrame(sorted(pairs.items()), kind)
-
-

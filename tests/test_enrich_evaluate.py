@@ -1,0 +1,97 @@
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+from quillgraph.operators import enrich as en
+from quillgraph.operators import evaluate as ev
+
+REF = "id string, Title string, Journal string, Year int"
+RAW = "ref_id string, pos int, raw string"
+
+
+def crossref(spark, *items):
+    rows = [(i, p, json.dumps({"title": [t], "issued": {"date-parts": [[y]]}, "DOI": doi, "container-title": [j], "author": [{"given": "Ann", "family": "Lee"}]})) for i, p, t, y, doi, j in items]
+    return en.crossref(spark.createDataFrame(rows, RAW))
+
+
+def openalex(spark, *items):
+    rows = [(i, p, json.dumps({"title": t, "publication_year": y, "doi": f"https://doi.org/{doi}", "authorships": [{"author": {"display_name": "Ann Lee", "id": "https://openalex.org/A9", "orcid": "https://orcid.org/0-1"}}]})) for i, p, t, y, doi in items]
+    return en.openalex(spark.createDataFrame(rows, RAW))
+
+
+def refs(spark, *rows):
+    return spark.createDataFrame(rows, REF)
+
+
+def best(spark, reference, *items):
+    return en.best_candidate(refs(spark, reference), crossref(spark, *items), "crossref").first()
+
+
+def test_exact_title_with_a_wrong_year_still_passes_by_default(spark):
+    r = best(spark, ("r", "Trust", "J", 2000), ("r", 0, "trust", 2003, "10.1/x", "J"))
+    assert (r.title_score, r.adjusted_score, r.year_delta, r.year_match, r.miss_reason) == (100, 92, 3, False, None)
+
+
+def test_a_heavier_penalty_makes_it_a_year_mismatch(spark):
+    r = en.best_candidate(refs(spark, ("r", "Trust", "J", 2000)), crossref(spark, ("r", 0, "Trust", 2003, "d", "J")), "crossref", en.EnrichConfig(year_penalty=15)).first()
+    assert (r.adjusted_score, r.miss_reason) == (85, "year_mismatch")
+
+
+@pytest.mark.parametrize(
+    ("title", "items", "reason"),
+    [("", [], "empty_title"), ("  ", [("r", 0, "x", 2000, "d", "J")], "empty_title"), ("Trust", [], "no_crossref_candidates"), ("Trust", [("r", 0, "Entirely other words", 2000, "d", "J")], "below_title_threshold"), ("Trust", [("r", 0, "Trust", None, "d", "J")], None), ("abc", [("r", 0, "xyz", 2000, "d", "J")], "no_crossref_candidates")],
+)
+def test_reasons(spark, title, items, reason):
+    assert best(spark, ("r", title, "J", 2000), *items).miss_reason == reason
+
+
+def test_the_first_of_equal_candidates_wins(spark):
+    assert best(spark, ("r", "Trust", "J", 2000), ("r", 1, "Trust", 2000, "second", "J"), ("r", 0, "TRUST", 2000, "first", "J"), ("r", 2, "Trus", 2000, "third", "J")).doi == "first"
+
+
+def test_fallback_misses_and_fields(spark):
+    table = refs(spark, ("r-1", "Trust in games", "Old", 2000), ("r-2", "Giving", "Old", 2001), ("r-3", "Unheard of", "Old", 2002), ("r-4", "", "Old", 2003))
+    first = crossref(spark, ("r-1", 0, "Trust in games", 2000, "10.1/a", "New"), ("r-2", 0, "Something else", 2001, "10.1/b", "New"))
+    out = en.enriched(table, first, openalex(spark, ("r-2", 0, "Giving", 2001, "10.1/c"), ("r-3", 0, "No relation at all", 2002, "10.1/d")))
+    got = {r.id: r for r in out.collect()}
+    assert [(got[k].enrichment_status, got[k].enrichment_source, got[k].doi, got[k].Journal) for k in sorted(got)] == [("matched", "crossref", "10.1/a", "New"), ("matched", "openalex", "10.1/c", "Old"), ("unmatched", None, None, "Old"), ("unmatched", None, None, "Old")]
+    assert [tuple(a) for a in got["r-2"].OpenAlex_Authors] == [("Ann Lee", "A9", "0-1")]
+    assert got["r-3"].enrichment_miss_reason == "below_title_threshold" and got["r-4"].enrichment_miss_reason == "empty_title"
+    assert sorted((r.source, r.n, r.rate) for r in en.by_source(out).collect()) == [("crossref", 1, 0.25), ("miss", 2, 0.5), ("openalex", 1, 0.25)]
+    assert sorted(r.id for r in en.misses(out).collect()) == ["r-3", "r-4"]
+
+
+def test_empty_tables(spark):
+    assert en.enriched(spark.createDataFrame([], REF), crossref(spark, ("r", 0, "x", 1, "d", "J")), openalex(spark, ("r", 0, "x", 1, "d"))).collect() == []
+
+
+def test_metadata_report(spark):
+    kind = "gold_Title string, pred_Title string, gold_Journal string, pred_Journal string, gold_Year int, pred_Year int, gold_Surnames array<string>, pred_Surnames array<string>"
+    rows = [("Trust ", "trust", "J", "J", 2000, 2000, ["a", "b"], ["b", "c"]), ("Trust in games", "Trust in game", "J", "Quite other", 2000, None, [], []), (None, "", None, "", None, None, ["a"], [])]
+    r = ev.metadata_report(spark.createDataFrame(rows, kind)).first()
+    assert (r.n, round(r.title_exact, 4), r.title_fuzzy, round(r.year_exact, 4), round(r.journal_fuzzy, 4), round(r.author_jaccard, 4)) == (3, 0.6667, 1.0, 0.3333, 0.6667, round((1 / 3 + 1) / 3, 4))
+    empty = ev.metadata_report(spark.createDataFrame([], kind)).first()
+    assert empty.n == 0 and empty.title_exact == 0 == empty.author_jaccard
+
+
+def test_greedy_reference_matching(spark):
+    rows = [("p", "gold", 0, "Trust in games"), ("p", "gold", 1, "Giving"), ("p", "gold", 2, "Lost"), ("p", "pred", 0, "giving"), ("p", "pred", 1, "Trust in games"), ("p", "pred", 2, "Trust in game"), ("q", "gold", 0, "Only gold"), ("s", "pred", 0, "Only found")]
+    out = ev.reference_matches(spark.createDataFrame(rows, "paper_id string, side string, ord int, Title string"))
+    assert sorted(map(tuple, out.collect())) == [("p", 3, 3, 2, 1, 1), ("q", 1, 0, 0, 0, 1), ("s", 0, 1, 0, 1, 0)]
+    r = ev.precision_recall(out).first()
+    assert (r.tp, r.fp, r.fn, r.precision, r.recall, round(r.f1, 6)) == (2, 2, 2, 0.5, 0.5, 0.5)
+    none = ev.precision_recall(out.limit(0)).first()
+    assert (none.tp, none.precision, none.recall, none.f1) == (0, 0, 0, 0)
+
+
+def test_dedup_share(spark):
+    mapping = spark.createDataFrame([(0, 0), (1, 0), (2, 2)], "ord long, leader long")
+    r = ev.dedup_share(spark.createDataFrame([(0, 1), (1, 2), (0, 9)], "i long, j long"), mapping).first()
+    assert r.n_pairs == 3 and abs(r.share - 1 / 3) < 1e-9
+
+
+def test_bare_ids(spark):
+    rows = [("https://doi.org/10.1/x",), ("http://dx.doi.org/10.1/x",), ("10.1/x",)]
+    assert {r.i for r in spark.createDataFrame(rows, "l string").select(en.bare_id(F.col("l")).alias("i")).collect()} == {"10.1/x"}
