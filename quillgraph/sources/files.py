@@ -91,7 +91,7 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(source_file, content), a row a file."""
     if not any(Path(folder).glob("*.md")):
         raise StageNotReady(f"no markdown in {folder}")
-    docs = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    docs = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
     return docs.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("content")).orderBy("source_file")
 
 
@@ -187,7 +187,7 @@ def parse_list(cell: Column) -> Column:
     """A text cell as a list: JSON, else a Python literal, else split at semicolons, else itself; blanks give an empty list."""
     tidy = F.trim(F.coalesce(cell, F.lit("")))
     brackets = tidy.startswith("[")
-    clean = lambda xs: F.filter(F.transform(xs, F.trim), lambda x: x != "")
+    clean = lambda xs: F.filter(F.transform(xs, lambda x: F.trim(x)), lambda x: x != "")
     strict = F.from_json(tidy, "array<string>", {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
     listed = F.coalesce(clean(strict), _literal(F.when(brackets & strict.isNull(), tidy)))
     return F.when(tidy == "", F.array().cast("array<string>")).when(brackets & listed.isNotNull(), listed).otherwise(clean(F.split(tidy, ";")))
