@@ -47,23 +47,25 @@ def grammar(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS,
     for _ in range(rounds):
         if len(seq) < 2 * least or room < 1:
             break
-        key = (seq[:-1].astype(key_kind) << shift) | seq[1:]
-        slot = ((key * factor) >> down).astype(np.int32)
-        at = np.flatnonzero(~last[:-1])
-        slot_at = slot[at]
+        key = seq[:-1].astype(key_kind)
+        key <<= shift
+        key |= seq[1:]
+        slot = ((key * factor) >> down).astype(np.intp)
+        slot[last[:-1]] = _SLOTS  # no pair reaches over a document's end
         # A slot stands for one pair, the last written; pairs that share its slot wait for a later round.
-        held = np.zeros(_SLOTS, key_kind)
-        held[slot_at] = key[at]
-        match = held[slot_at] == key[at]
-        at, slot_at = at[match], slot_at[match]
-        count = np.bincount(slot_at, minlength=_SLOTS)
+        held = np.zeros(_SLOTS + 1, key_kind)
+        held[slot] = key
+        match = held.take(slot, mode="clip") == key
+        count = np.bincount(slot[match], minlength=_SLOTS + 1)
+        count[_SLOTS] = 0
         top = np.flatnonzero(count >= least)
         if len(top) > min(new, room):
             top = top[np.argsort(-count[top], kind="stable")[: min(new, room)]]
-        chosen = np.zeros(_SLOTS, bool)
+        chosen = np.zeros(_SLOTS + 1, bool)
         chosen[top] = True
-        here = chosen[slot_at]
-        at, often = at[here], count[slot_at[here]]
+        match &= chosen.take(slot, mode="clip")
+        at = np.flatnonzero(match)
+        often = count[slot[at]]
         if not len(at):
             break
         # Of overlapping pairs the most frequent; of equals every second one, from the left.
@@ -76,18 +78,20 @@ def grammar(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS,
         begin = np.flatnonzero(start)
         order = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
         at = at[order % 2 == 0]
-        used = np.bincount(slot[at], minlength=_SLOTS)
+        slot_at = slot[at]
+        used = np.bincount(slot_at, minlength=_SLOTS)
         names = np.flatnonzero(used >= 3)  # a rule costs two codes and a length
         if not len(names):
             break
         name = np.full(_SLOTS, -1, np.int64)
         name[names] = first + sum(map(len, rules)) + np.arange(len(names))
         room -= len(names)
-        at = at[name[slot[at]] >= 0]
+        named = name[slot_at]
+        at, named = at[named >= 0], named[named >= 0]
         pair = np.stack([held[names] >> shift, held[names] & key_kind((1 << int(shift)) - 1)], 1).astype(kind)
         rules.append(pair)
         expansion = np.concatenate([expansion, expansion[pair[:, 0]] + expansion[pair[:, 1]]])
-        seq[at] = name[slot[at]]
+        seq[at] = named
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         last[at] = last[at + 1]
