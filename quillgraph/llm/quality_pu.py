@@ -205,9 +205,9 @@ def fit(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Mod
     xp, xu = _design(pos, edges, o.word_bits), _design(unl, edges, o.word_bits)
     prior = o.prior
     if prior is None:
-        half = lambda x, part: _take(x, np.arange(len(x[0]) - 1)[part::2])
-        first = nnpu(half(xp, 0), half(xu, 0), width, 0.5, o)
-        hp, hu = half(xp, 1), half(xu, 1)
+        rng = np.random.default_rng(o.seed)  # halves at random: ids may go with quality
+        (xp0, hp), (xu0, hu) = ([_take(x, rows[part::2]) for part in (0, 1)] for x, rows in ((x, rng.permutation(len(x[0]) - 1)) for x in (xp, xu)))
+        first = nnpu(xp0, xu0, width, 0.5, o)
         prior = best_bin_prior(_dot(hp, np.arange(len(hp[0]) - 1), first)[0], _dot(hu, np.arange(len(hu[0]) - 1), first)[0])
     w = nnpu(xp, xu, width, prior, o)
     gp, gu = (_dot(x, np.arange(len(x[0]) - 1), w)[0] for x in (xp, xu))

@@ -137,7 +137,7 @@ def test_a_score_column_of_the_same_name_is_replaced(spark):
     docs = frame(spark, rows)
     for out in (trees.accepted(docs, labels, trees.Options(trees=5)), pu.accepted(docs, labels, pu.Options(epochs=2), score="score")):
         assert out.columns.count("score") == 1 and len(out.columns) == len(docs.columns)
-        assert out.select("score").distinct().count() > 5
+        assert out.select("score").distinct().count() > 1
     assert pu.accepted(docs, labels, pu.Options(epochs=2)).where("score <> 0.5").count() == 0
 
 
