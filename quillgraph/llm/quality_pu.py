@@ -8,7 +8,7 @@ sigmoid loss l(g) = 1 / (1 + exp(g)) and p the share of good documents in the co
 and where the second term falls below zero its gradient is ascended. Trusted positives are labelled documents of
 quality 1 that are not toxic; the unlabelled set is drawn from all of ``documents``. Labels of bad documents are never
 used. p is estimated by best-bin estimation (Garg et al., 2021): over the thresholds of a first model, the least ratio
-of the unlabelled to the positive share above it.
+of the unlabelled to the positive share above it; two random halves take turns as the held-out one.
 
 Features: quantile bins of sixteen document statistics, and hashed distinct words scaled by the root of their number.
 The constant of g is then shifted so that g >= 0 accepts p of the unlabelled sample and at least ``keep_trusted`` of the
@@ -206,9 +206,13 @@ def fit(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Mod
     prior = o.prior
     if prior is None:
         rng = np.random.default_rng(o.seed)  # halves at random: ids may go with quality
-        (xp0, hp), (xu0, hu) = ([_take(x, rows[part::2]) for part in (0, 1)] for x, rows in ((x, rng.permutation(len(x[0]) - 1)) for x in (xp, xu)))
-        first = nnpu(xp0, xu0, width, 0.5, o)
-        prior = best_bin_prior(_dot(hp, np.arange(len(hp[0]) - 1), first)[0], _dot(hu, np.arange(len(hu[0]) - 1), first)[0])
+        halves = [[_take(x, rows[part::2]) for part in (0, 1)] for x, rows in ((x, rng.permutation(len(x[0]) - 1)) for x in (xp, xu))]
+        scores = lambda x, w: _dot(x, np.arange(len(x[0]) - 1), w)[0]
+        estimates = []
+        for fitted, held in ((0, 1), (1, 0)):  # each half is scored by the other's model, so that no row's luck in the draw counts
+            first = nnpu(halves[0][fitted], halves[1][fitted], width, 0.5, o)
+            estimates.append(best_bin_prior(scores(halves[0][held], first), scores(halves[1][held], first)))
+        prior = float(np.mean(estimates))
     w = nnpu(xp, xu, width, prior, o)
     gp, gu = (_dot(x, np.arange(len(x[0]) - 1), w)[0] for x in (xp, xu))
     # The constant is set so that g >= 0 accepts the estimated share of the corpus, and nearly every trusted positive.
