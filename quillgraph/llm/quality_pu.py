@@ -6,16 +6,22 @@ sigmoid loss l(g) = 1 / (1 + exp(g)) and p the share of good documents in the co
     risk = p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)]),
 
 and where the second term falls below zero its gradient is ascended. Trusted positives are labelled documents of
-quality 1 that are not toxic; the unlabelled set is drawn from all of ``documents``. Labels of bad documents are never
-used. p is estimated by best-bin estimation (Garg et al., 2021): over the thresholds of a first model, the least ratio
-of the unlabelled to the positive share above it; two random halves take turns as the held-out one.
+quality 1 that are not toxic; the unlabelled set is all of ``documents`` that have a text. Labels of bad documents are
+never used.
 
 Features: quantile bins of sixteen document statistics, and hashed distinct words scaled by the root of their number.
-The constant of g is then shifted so that g >= 0 accepts p of the unlabelled sample and at least ``keep_trusted`` of the
-trusted positives: the surrogate loss orders documents well, but where few are bad it puts its zero too low.
-Fitting takes at most ``max_rows`` positives and ``max_rows`` unlabelled documents, chosen by a hash of their ids; that
-bound is a parameter, and scoring covers every document. Scores are a scalar Arrow function of the whole text, so
-filtering needs no shuffle and other columns never leave the JVM.
+What holds for the corpus is taken from the whole of it, by histograms that are summed: the bins' edges (within 1/128 of a
+value), p and the threshold. A quarter of the trusted positives, chosen by a hash, and all beyond ``max_rows`` are left
+out of the fit. p is estimated by best-bin estimation (Garg et al., 2021): over the thresholds of a first model, the least
+ratio of the unlabelled share above it to that of the positives left out; documents that were fitted on as positives are
+counted apart, as good ones. Positives left out are unlabelled rows to the fit like any other, so both shares suffer alike from it.
+
+The first model is fitted on at most ``max_rows`` positives and as many documents: any ordering gives a valid p. The final weights
+see every document: each part of the corpus, ``CHUNK`` documents at a time, minimises the risk against the same positives, at most
+``max_rows``, and the weights' mean by documents is taken. The constant of g is then shifted so that g >= 0 accepts p of
+the corpus and at least ``keep_trusted`` of the trusted positives left out: the surrogate loss orders documents well, but
+where few are bad it puts its zero too low. With fewer than ``SPARE`` trusted positives none is left out, and the fitted ones serve.
+Scores are a scalar Arrow function of the whole text, so filtering needs no shuffle and other columns never leave the JVM.
 
 Edge cases: null and empty texts score -inf and are rejected; a corpus without any usable positive has no trusted
 reference and every non-empty text is kept with score 0; rows that repeat are scored alike; a null doc_id does not
@@ -36,6 +42,9 @@ from .stats import NAMES, slice_stats
 from .words import Slice, slices, words
 
 _TINY = np.float32(1e-8)
+CHUNK, ENTRIES = 24 * 1024, 1 << 22  # documents, and words in them, that a task holds for the fit
+SPARE, GRID = 40, 1 << 12  # steps of a score's unit
+_KEPT_BITS = 45  # dropped from a statistic's 64 for its histogram: sign, exponent and 7 bits of the mantissa stay
 
 
 @dataclass(frozen=True)
@@ -179,53 +188,148 @@ def nnpu(xp: tuple, xu: tuple, width: int, prior: float, o: Options) -> np.ndarr
     return w
 
 
-def best_bin_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1) -> float:
-    """Least upper confidence of (unlabelled share above c) / (positive share above c) over thresholds c."""
-    cuts = np.sort(pos)
-    fp = 1 - np.arange(len(cuts)) / len(cuts)
-    fu = 1 - np.searchsorted(np.sort(unl), cuts) / len(unl)
-    slack = np.sqrt(np.log(4 / delta) / 2 / len(unl)) + np.sqrt(np.log(4 / delta) / 2 / len(pos))
+def best_bin(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1) -> float:
+    """Least upper confidence of (unlabelled share above c) / (positive share above c); counts by ascending bin."""
+    n, m = pos.sum(), unl.sum()
+    fp, fu = (np.cumsum(x[::-1])[::-1] / x.sum() for x in (pos, unl))
+    slack = np.sqrt(np.log(4 / delta) / 2 / m) + np.sqrt(np.log(4 / delta) / 2 / n)
     best = np.argmin((fu + slack) / np.maximum(fp, 1e-9))
     return float(np.clip(fu[best] / fp[best], 0.05, 0.99))
 
 
+def best_bin_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1) -> float:
+    """best_bin over the thresholds at the given scores."""
+    bins, at = np.unique(np.concatenate((pos, unl)), return_inverse=True)
+    return best_bin(*(np.bincount(x, minlength=len(bins)) for x in (at[: len(pos)], at[len(pos) :])), delta)
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """The leading bits of doubles as integers of the same order."""
+    bits = x.astype(np.float64).view(np.int64)
+    return (bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))) >> _KEPT_BITS
+
+
+def _value(key: np.ndarray) -> np.ndarray:
+    """The least double of a key of _ordered."""
+    bits = key.astype(np.int64) << _KEPT_BITS
+    return (bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)
+
+
+def _edges(filled: DataFrame, o: Options) -> np.ndarray | None:
+    """Inner bin edges of each statistic, from the histograms of all documents."""
+    wide, half = 64 - _KEPT_BITS, 1 << (63 - _KEPT_BITS)
+
+    def each(batches):
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for part in slices(batch.column("text")):
+                stats = slice_stats(part, words(part))
+                mine, n = np.unique((np.arange(len(NAMES), dtype=np.int64) << wide) + _ordered(stats) + half, return_counts=True)
+                keys, at = np.unique(np.concatenate((keys, mine)), return_inverse=True)
+                counts = np.bincount(at, np.concatenate((counts, n)), minlength=len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+
+    got = filled.select("text").mapInArrow(tidy(each), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+    keys, n = got.column("key").to_numpy(), got.column("n").to_numpy()
+    if not len(keys):
+        return None
+    # An equal spacing above the last quantile lets rare extremes have bins of their own.
+    shares = np.sort(np.concatenate((np.linspace(0, 1, o.bins - 3)[1:], [0.01, 0.99, 0.995])))
+    out = []
+    for j in range(len(NAMES)):
+        mine = (keys >> wide) == j
+        up = np.cumsum(n[mine])
+        out.append(_value((keys[mine] & ((1 << wide) - 1))[np.searchsorted(up, np.maximum(np.ceil(shares * up[-1]), 1))] - half))
+    return np.stack(out)
+
+
+def _fit_all(filled: DataFrame, xp: tuple, edges: np.ndarray, width: int, prior: float, o: Options) -> np.ndarray:
+    """The mean by documents of the weights that the parts of the corpus find."""
+    unit = 1 << 24  # whole multiples of 1 / unit are summed, so that the sum does not depend on its order
+
+    def each(batches):
+        total, count, rows, size = np.zeros(width, np.int64), 0, [], 0
+
+        def learnt():
+            return np.rint(nnpu(xp, _design(rows, edges, o.word_bits), width, prior, o) * unit).astype(np.int64) * len(rows)
+
+        for batch in batches:
+            for part in slices(batch.column("text")):
+                stats, doc, bucket = _words_used(part, o.word_bits)
+                bucket = bucket.astype(np.uint16 if o.word_bits <= 16 else np.uint32)
+                at = np.searchsorted(doc, np.arange(len(stats) + 1))
+                for i in range(len(stats)):
+                    rows.append((stats[i], bucket[at[i] : at[i + 1]]))
+                    size += int(at[i + 1] - at[i])
+                    if len(rows) >= CHUNK or size >= ENTRIES:
+                        total, count = total + learnt(), count + len(rows)
+                        rows, size = [], 0
+        if rows:
+            total, count = total + learnt(), count + len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([count], pa.int64())], ["w", "n"])
+
+    def merged(batches):
+        total, count = np.zeros(width, np.int64), 0
+        for batch in batches:
+            for w, n in zip(batch.column("w"), batch.column("n").to_pylist(), strict=True):
+                total, count = total + np.frombuffer(w.as_buffer(), np.int64), count + n
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([count], pa.int64())], ["w", "n"])
+
+    parts = filled.select("text").mapInArrow(tidy(each), "w binary, n long").repartition(8).mapInArrow(merged, "w binary, n long").collect()
+    return sum(np.frombuffer(r.w, np.int64) for r in parts) / unit / sum(r.n for r in parts)
+
+
+def _histograms(filled: DataFrame, model: Model, trusted: DataFrame, used: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending scores, and beside each its numbers of documents: neither trusted nor fitted, trusted and left out, fitted."""
+    scored = filled.select(F.col("doc_id").cast("long").alias("doc_id"), F.floor(score_column(model, F.col("text")) * GRID).alias("at"))
+    tagged = scored.join(trusted.withColumn("trusted", F.lit(1)), "doc_id", "left").join(F.broadcast(used.withColumn("used", F.lit(1))), "doc_id", "left")
+    tag = F.when(F.col("used").isNotNull(), 2).when(F.col("trusted").isNotNull(), 1).otherwise(0)
+    got = tagged.groupBy("at", tag.alias("tag")).count().toArrow()
+    bins, at = np.unique(got.column("at").to_numpy(), return_inverse=True)
+    out = np.zeros((3, len(bins)), np.int64)
+    np.add.at(out, (got.column("tag").to_numpy(), at), got.column("count").to_numpy())
+    return bins / GRID, out
+
+
+def _at_share(scores: np.ndarray, n: np.ndarray, share: float) -> float:
+    """The score that at most ``share`` of the counted lie below."""
+    up = np.cumsum(n)
+    return float(scores[np.searchsorted(up, share * up[-1], "right").clip(0, len(scores) - 1)])
+
+
 def fit(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Model | None:
     o = options
+    filled = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("length(text) > 0")
     by = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x"))
     trusted = by.where("q = 1 AND x = 0").select("doc_id")
-    pos = _features(docs, sample_ids(trusted, o.max_rows, "trusted"), o.word_bits)
-    unl = _features(docs, sample_ids(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")), o.max_rows, "unlabelled"), o.word_bits)
-    if len(pos) < 2 or len(unl) < 2:
+    fitted = trusted.where(F.pmod(F.xxhash64("doc_id", F.lit("left out")), F.lit(4)) > 0) if trusted.count() >= SPARE else trusted
+    used = docs.sparkSession.createDataFrame([tuple(r) for r in sample_ids(fitted, o.max_rows, "trusted").collect()], "doc_id long")
+    pos = _features(docs, used, o.word_bits)
+    edges = _edges(filled, o) if len(pos) >= 2 else None
+    if edges is None:
         return None
-    stats = np.stack([r[0] for r in unl])
-    # The pooled statistics' quantiles; an equal spacing above the last one lets rare extremes have bins of their own.
-    edges = np.stack([np.quantile(stats[:, j], np.concatenate((np.linspace(0, 1, o.bins - 3)[1:], [0.01, 0.99, 0.995]))) for j in range(len(NAMES))])
-    edges.sort(axis=1)
     width = (1 << o.word_bits) + len(NAMES) * (edges.shape[1] + 1) + 1
-    xp, xu = _design(pos, edges, o.word_bits), _design(unl, edges, o.word_bits)
+    xp = _design(pos, edges, o.word_bits)
     prior = o.prior
     if prior is None:
-        rng = np.random.default_rng(o.seed)  # halves at random: ids may go with quality
-        halves = [[_take(x, rows[part::2]) for part in (0, 1)] for x, rows in ((x, rng.permutation(len(x[0]) - 1)) for x in (xp, xu))]
-        scores = lambda x, w: _dot(x, np.arange(len(x[0]) - 1), w)[0]
-        estimates = []
-        for fitted, held in ((0, 1), (1, 0)):  # each half is scored by the other's model, so that no row's luck in the draw counts
-            first = nnpu(halves[0][fitted], halves[1][fitted], width, 0.5, o)
-            estimates.append(best_bin_prior(scores(halves[0][held], first), scores(halves[1][held], first)))
-        prior = float(np.mean(estimates))
-    w = nnpu(xp, xu, width, prior, o)
-    gp, gu = (_dot(x, np.arange(len(x[0]) - 1), w)[0] for x in (xp, xu))
+        unl = _features(docs, sample_ids(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")), o.max_rows, "unlabelled"), o.word_bits)
+        if len(unl) < 2:
+            return None
+        first = Model(edges, nnpu(xp, _design(unl, edges, o.word_bits), width, 0.5, o), o.word_bits, 0.5)
+        _, (rest, spared, own) = _histograms(filled, first, trusted, used)
+        if spared.any():  # fitted documents are good, and no sample of the others
+            others = rest + spared
+            prior = (best_bin(spared, others) * others.sum() + own.sum()) / (others.sum() + own.sum())
+        else:
+            prior = best_bin(own, rest + own)
+        prior = float(np.clip(prior, 0.05, 0.99))
+    w = _fit_all(filled, xp, edges, width, prior, o)
+    scores, (rest, spared, own) = _histograms(filled, Model(edges, w, o.word_bits, prior), trusted, used)
     # The constant is set so that g >= 0 accepts the estimated share of the corpus, and nearly every trusted positive.
-    w[-1] -= min(np.quantile(gu, 1 - prior), np.quantile(gp, 1 - o.keep_trusted))
+    w[-1] -= min(_at_share(scores, rest + spared + own, 1 - prior), _at_share(scores, spared if spared.any() else own, 1 - o.keep_trusted))
     return Model(edges, w, o.word_bits, prior)
 
 
-def _take(x: tuple, rows: np.ndarray) -> tuple:
-    size = np.diff(x[0])[rows]
-    at = np.repeat(x[0][rows] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-    return np.concatenate(([0], np.cumsum(size))), x[1][at], x[2][at]
-
-
 def accepted(docs: DataFrame, labels: DataFrame, options: Options = Options(), score: str | None = None) -> DataFrame:
     """The documents with a score of at least 0, in docs' own columns; ``score`` names an added column, if given, which
     takes the place of one that docs has by that name."""
