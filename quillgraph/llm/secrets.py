@@ -1,9 +1,11 @@
 """Operator 6: secret scan by token efficiency.
 
 A vocabulary learnt from language spends few tokens on language and many on random strings. Words of at least
-``least`` characters with a digit in them are cut into runs of key characters; a run with fewer than ``ratio`` characters
-a token, and of at least two kinds of characters, is a find. Known digests (32, 40, 56, 64, 96 or 128 hexadecimal
-digits, alone), UUIDs, numbers, e-mail and network addresses, links and dates are excluded first.
+``least`` characters are cut into runs of key characters; a run with fewer than ``ratio`` characters a token, and of at
+least two kinds of characters, is a find. A run without digits must also change between small and capital letters
+at every fourth character or more often. Known digests (32, 40, 56, 64, 96 or 128 hexadecimal digits, alone), UUIDs,
+numbers and dates are excluded, and so are the spans of e-mail addresses and of links' schemes, hosts and paths; what
+else a word holds, such as a link's user name, password, query and fragment or other fields of JSON, is searched.
 
 Edge cases: null and empty texts have no finds; rows that repeat give theirs as often as they occur; a null doc_id gives
 finds under null; other columns are unread. Positions are in characters, from 0, the end excluded.
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pii import _DOMAIN, _LOCAL
 from .shared import tidy
 from .tokens import VOCABULARY, encoding
 from .words import slices, words
@@ -25,6 +28,8 @@ from .words import slices, words
 LEAST, RATIO = 16, 2.5
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+_CASE = np.zeros(256, np.int8)
+_CASE[97:123], _CASE[65:91] = 1, 2
 _KEY = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 _DIGESTS = {32, 40, 56, 64, 96, 128}
 _HEX = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
@@ -33,7 +38,33 @@ _KNOWN = re.compile(
     r"|[\d+/_\-=]+\Z"  # numbers, dates, telephone numbers
     r"|\d{4}-\d\d-\d\dT[\d:.\-+Z]*\Z"
 )
-_ADDRESS = re.compile(r"@|://|(?:^|\W)www\.|^(?:\d{1,3}\.){3}\d{1,3}\W*$")
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{0,30}\Z")
+_HOST_PATH = r"[^\s/?#&\"'`<>|,;(){}\[\]\\@=]*(?:/[^\s?#&\"'`<>|,;(){}\[\]\\]*)?"
+_LINK = re.compile(r"(?P<user>[^\s/?#\"'`<>]*@)?(?P<rest>" + _HOST_PATH + ")")
+_WWW = re.compile(r"(?<![A-Za-z0-9_.])www\." + _HOST_PATH)
+_LOCAL_PART = re.compile(r"[A-Za-z0-9._%+\-]")
+_TURN = re.compile(r"(?=[a-z][A-Z]|[A-Z][a-z])")
+
+
+def _without_addresses(word: str) -> str:
+    """The word with blanks over its links' schemes, hosts and paths and its e-mail addresses."""
+    out = word
+    blank = lambda a, b: out[:a] + " " * (b - a) + out[b:]
+    at = out.find("://")
+    while at >= 0:
+        scheme, link = _SCHEME.search(out, max(0, at - 31), at), _LINK.match(out, at + 3)
+        out = blank(link.start("rest"), link.end())
+        out = blank(scheme.start() if scheme else at, at + 3)
+        at = out.find("://", link.end())
+    if "www." in out:
+        out = _WWW.sub(lambda m: " " * len(m.group()), out)
+    at = out.find("@")
+    while at >= 0:
+        left, right = _LOCAL.search(out, max(0, at - 65), at), _DOMAIN.match(out, at + 1)
+        if left and right and not (left.start() and _LOCAL_PART.match(out[left.start() - 1])):
+            out = blank(left.start(), right.end())
+        at = out.find("@", at + 1)
+    return out
 
 
 def _kinds(s: str) -> int:
@@ -42,13 +73,13 @@ def _kinds(s: str) -> int:
 
 def finds(word: str, enc, least: int = LEAST, ratio: float = RATIO) -> list[tuple[int, int, int, float]]:
     """(start, end, tokens, characters a token) of the secrets in a word."""
-    if _ADDRESS.search(word):
-        return []
     out = []
-    for m in _KEY.finditer(word):
+    for m in _KEY.finditer(_without_addresses(word) if "@" in word or "://" in word or "www." in word else word):
         s = m.group()
         bare = s.rstrip("=")
-        if len(bare) < least or _kinds(bare) < 2 or not any(c.isdigit() for c in bare) or _KNOWN.match(bare) or (len(bare) in _DIGESTS and _HEX.match(bare)):
+        if len(bare) < least or _kinds(bare) < 2 or _KNOWN.match(bare) or (len(bare) in _DIGESTS and _HEX.match(bare)):
+            continue
+        if not any(c.isdigit() for c in bare) and 4 * len(_TURN.findall(bare)) < len(bare):
             continue
         n = len(enc.encode_ordinary(s))
         if len(s) / n < ratio:
@@ -68,7 +99,11 @@ def scan(docs: DataFrame, least: int = LEAST, ratio: float = RATIO, path: str =
                 w = words(part)
                 digits = np.zeros(len(part.data) + 1, np.int32)
                 np.cumsum(_DIGIT[part.data], out=digits[1:])
-                for k in np.flatnonzero((w.end - w.start >= least) & (digits[w.end] > digits[w.start])):
+                turns = np.zeros(len(part.data) + 1, np.int32)
+                case = _CASE[part.data]
+                np.cumsum(case[1:] * case[:-1] == 2, out=turns[2:])
+                turned = 4 * (turns[w.end] - turns[np.minimum(w.start + 1, w.end)]) >= least
+                for k in np.flatnonzero((w.end - w.start >= least) & ((digits[w.end] > digits[w.start]) | turned)):
                     a, b = int(w.start[k]), int(w.end[k])
                     found = finds(part.data[a:b].tobytes().decode(), enc, least, ratio)
                     if found:

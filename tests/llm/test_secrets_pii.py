@@ -55,6 +55,26 @@ def test_scan_equals_a_plain_loop(spark):
     assert len(expected) >= 10
 
 
+def test_secrets_beside_addresses_and_links(spark):
+    key, token = keys()[0], keys()[1]
+    plain = "qWzXvKpLrTnMbGhJdFsY"  # mixed case without a digit
+    cases = [
+        (f'{{"url":"https://x.io/v1","api_key":"{key}"}}', [key]), (f"postgres://app:{keys()[4]}@db:5432", [keys()[4]]), (f"postgres://app:{keys()[4]}@db.example.com:5432/main", [keys()[4]]),
+        (f"https://h.io/?token={token}", [token]), (f"www.h.io/a?x=1&token={token}", [token]), (f"mail=someone1234567890x@example.com;key={key}", [key]), (f"key={plain}", [plain]),
+        ("https://example.com/a8Zk39dkQ0s8dKdl3?page=2", []), ("www.example.com/a8Zk39dkQ0s8dKdl3", []), ("getElementsByTagNameNS", []), ("InternationalisationAndLocalisation", []),
+    ]
+    rows = [(i, f"é see {t} here") for i, (t, _) in enumerate(cases)]
+    got = {i: [] for i, _ in rows}
+    for r in secrets.scan(frame(spark, rows)).collect():
+        got[r.doc_id].append(rows[r.doc_id][1][r.start : r.end])
+    assert got == {i: found for i, (_, found) in enumerate(cases)}
+
+
+def test_long_words_take_linear_time():
+    for sign in ("a1", "://", "@", "a@b.co,", "www.", "https://x/"):
+        secrets.finds(sign * (100_000 // len(sign)), ENC)
+
+
 def test_empty(spark):
     assert secrets.scan(frame(spark, [])).collect() == [] == pii.find(frame(spark, [])).collect()
     assert pii.redacted(frame(spark, [])).collect() == []
