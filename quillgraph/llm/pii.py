@@ -29,7 +29,8 @@ _LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,63})\Z")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])")
 _IPV4 = re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)")
 _PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[.\-])\d{3}[ .\-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)")
-_CARD = re.compile(r"(?<![\d.])\d(?:[ \-]?\d){12,18}(?![\d])")
+_GROUPS = re.compile(r"(?<!\d)(?<!\d\.)\d+(?:[ \-]\d+)*")
+_CARD_SHAPES = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3)}
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![\d\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])")
 _BASE = {"email": 0.9, "ip": 0.7, "phone": 0.7, "card": 0.8, "iban": 0.9, "ssn": 0.6}
@@ -58,6 +59,34 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _cards(run: str) -> list[tuple[int, int]]:
+    """Bounds of the cards in a run of digit groups: the whole run, however grouped, or else its sub-runs that are one
+    group or grouped as cards are (in lists of numbers any other sub-run would often pass by chance). Of sub-runs that
+    overlap the longer wins, then the earlier."""
+    groups = [(g.start(), g.end()) for g in re.finditer(r"\d+", run)]
+    digits = run.replace(" ", "").replace("-", "")
+    first = [0]
+    for a, b in groups:
+        first.append(first[-1] + b - a)
+    good = []
+    for i in range(len(groups)):
+        for j in range(i + 1, len(first)):
+            n = first[j] - first[i]
+            if n > 19:
+                break
+            body = digits[first[i] : first[j]]
+            shape = tuple(b - a for a, b in groups[i:j])
+            whole = j - i == len(groups)
+            if n >= 13 and (whole or len(shape) == 1 or shape in _CARD_SHAPES) and len(set(body)) > 1 and luhn(body):
+                good.append((not whole, -n, i, j))
+    free, out = [True] * len(groups), []
+    for *_, i, j in sorted(good):
+        if all(free[i:j]):
+            free[i:j] = [False] * (j - i)
+            out.append((groups[i][0], groups[j - 1][1]))
+    return sorted(out)
+
+
 def _proposed(text: str):
     at = text.find("@")
     while at >= 0:
@@ -71,10 +100,9 @@ def _proposed(text: str):
     for m in _PHONE.finditer(text):
         if 7 <= sum(c.isdigit() for c in m.group()) <= 15:
             yield "phone", m.start(), m.end()
-    for m in _CARD.finditer(text):
-        digits = re.sub(r"\D", "", m.group())
-        if len(set(digits)) > 1 and luhn(digits):
-            yield "card", m.start(), m.end()
+    for m in _GROUPS.finditer(text):
+        if m.end() - m.start() >= 13:
+            yield from (("card", m.start() + a, m.start() + b) for a, b in _cards(m.group()))
     for m in _IBAN.finditer(text):
         found = m.group()
         while len(found.replace(" ", "")) >= 15:  # capitals after the number may have been taken in

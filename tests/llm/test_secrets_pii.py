@@ -97,6 +97,23 @@ def test_not_found(text):
     assert pii.spans(text) == []
 
 
+@pytest.mark.parametrize(
+    ("text", "span"),
+    [
+        ("card 4111 1111 1111 1111 12/25", "4111 1111 1111 1111"), ("4111111111111111 123", "4111111111111111"), ("12 4111 1111 1111 1111", "4111 1111 1111 1111"),
+        ("no.4111111111111111", "4111111111111111"), ("4111-1111-1111-1111 2025 123", "4111-1111-1111-1111"), ("77 378282246310005 1234", "378282246310005"),
+    ],
+)
+def test_cards_beside_other_numbers(text, span):
+    assert [(k, text[a:b]) for k, a, b, _ in pii.spans(text)] == [("card", span)]
+
+
+def test_two_cards_in_a_run():
+    text = "4111 1111 1111 1111 5500 0000 0000 0004"
+    assert [text[a:b] for _, a, b, _ in pii.spans(text)] == [text[:19], text[20:]]
+    assert pii.spans("1.4111111111111111") == []
+
+
 def test_words_nearby_move_the_score():
     score = lambda t: pii.spans(t, 0.0)[0][3]
     assert score("ssn 123-45-6789") > score("see 123-45-6789") > score("part 123-45-6789")
