@@ -52,25 +52,6 @@ def test_pu_needs_no_bad_labels(spark):
     assert np.array_equal(a.weights, b.weights)
 
 
-def test_pu_takes_edges_prior_and_threshold_from_the_whole_corpus(spark):
-    """Few fitted rows make weaker weights, but what holds for the corpus does not come from them."""
-    rows, truth, labels = corpus(spark, 3000)
-    docs = frame(spark, rows)
-    few, more = (pu.fit(docs, labels, pu.Options(epochs=2, max_rows=n)) for n in (60, 600))
-    assert np.array_equal(few.edges, more.edges)
-    assert abs(few.prior - 0.75) < 0.04 and abs(more.prior - 0.75) < 0.04
-    kept = docs.where(pu.score_column(few, docs["text"]) >= 0).count() / len(rows)
-    assert abs(kept - 0.75) < 0.04
-
-
-def test_pu_weights_see_documents_outside_the_sample(spark):
-    """A word of bad documents alone that the bounded sample need not hold still gets a weight."""
-    rows, truth, labels = corpus(spark, 1200)
-    rare = [i for i in truth if not truth[i]][:40]
-    a, b = (pu.fit(frame(spark, [(i, t + extra if i in rare else t) for i, t in rows]), labels, pu.Options(epochs=2, max_rows=20, prior=0.75)) for extra in ("", " zzqq zzqx zzqy"))
-    assert np.count_nonzero(b.weights) > np.count_nonzero(a.weights)
-
-
 def test_prior_estimate():
     r = np.random.default_rng(5)
     pos, unl = r.normal(2, 1, 3000), np.concatenate((r.normal(2, 1, 2100), r.normal(-2, 1, 900)))
