@@ -70,6 +70,67 @@ def test_secrets_beside_addresses_and_links(spark):
     assert got == {i: found for i, (_, found) in enumerate(cases)}
 
 
+def test_digests_and_keys_of_their_length(spark):
+    h = hashlib.sha1(b"seed").hexdigest()
+    found = [f'token = "{h}"', f"api_key={h}", f"password: '{h}'", f"secret {h}", f"the token is {h}", f'{{"key":"{h}"}}', f"https://h.io/?token={h}"]
+    not_found = [f"commit {h}", f'"commit": "{h}"', f"sha1:{h}", f"sha1 = {h}", f"etag: {h}", f"checksum={h}", f"see {h} there", f"revision={h}", f"sha512-{'aB3' * 20}"]
+    rows = [(i, t) for i, t in enumerate(found + not_found)]
+    got = {r.doc_id: rows[r.doc_id][1][r.start : r.end] for r in secrets.scan(frame(spark, rows)).collect()}
+    assert got == {i: h for i in range(len(found))}
+    assert secrets.scan(frame(spark, rows), known=frozenset([h])).count() == 0
+
+
+def _independent(text):
+    """Key runs under 2.5 characters a token, by another route: single characters, the library's tokens, plain rules."""
+    import base64 as b64
+
+    import tiktoken
+
+    with open("/opt/tokenizers/byte_bpe_50k.tiktoken", "rb") as lines:
+        ranks = {b64.b64decode(x.split()[0]): int(x.split()[1]) for x in lines}
+    enc = tiktoken.Encoding("other", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
+    key = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+    out, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in key:
+            j += 1
+        if j - i >= 16:
+            bare, end = text[i:j], j
+            while end < len(text) and end < j + 2 and text[end] == "=":
+                end += 1
+            kinds = sum(any(f(c) for c in bare) for f in (str.isdigit, str.islower, str.isupper))
+            turns = sum(a.islower() != b.islower() for a, b in zip(bare, bare[1:], strict=False) if a.isalpha() and b.isalpha())
+            hexed = len(bare) in (32, 40, 56, 64, 96, 128) and all(c in "0123456789abcdef" for c in bare)
+            assigned = text[:i].rstrip()[-1:] in ("=", ":", '"') and "commit" not in text[max(0, i - 20) : i]
+            if kinds >= 2 and (any(c.isdigit() for c in bare) or 4 * turns >= len(bare)) and (not hexed or assigned):
+                n = len(enc.encode_ordinary(text[i:end]))
+                if (end - i) / n < 2.5:
+                    out.append((i, end, n, round((end - i) / n, 4)))
+            j = end
+        i = max(j, i + 1)
+    return out
+
+
+def test_scan_equals_an_independent_rule(spark):
+    r = random.Random(5)
+    h = hashlib.sha1(b"seed").hexdigest()
+    parts = [*keys(), f'token = "{h}"', f"commit {h}", h, "internationalisation2024", "chapter_12_introduction_to_graphs", "plain", "qWzXvKpLrTnMbGhJdFsY", "AAAA" * 5, "snake_case_of_words"]
+    rows = [(i, " ".join(r.choice([prose(r.randint(1, 6), i * 9 + k), r.choice(parts)]) for k in range(12))) for i in range(60)]
+    expected = sorted((i, *f) for i, t in rows for f in _independent(t))
+    assert sorted(tuple(x) for x in secrets.scan(frame(spark, rows)).collect()) == expected
+    assert len(expected) > 60
+
+
+def test_planted_tokens_are_found(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    import re
+
+    planted = {(r.doc_id, m.start(1), m.end(1)) for r in docs.where("text LIKE '%token = %'").collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text)}
+    found = {(r.doc_id, r.start, r.end) for r in secrets.scan(docs).collect()}
+    assert len(planted) > 5 and len(planted & found) >= 0.95 * len(planted) and len(found) <= 1.2 * len(planted)
+
+
 def test_long_words_take_linear_time():
     for sign in ("a1", "://", "@", "a@b.co,", "www.", "https://x/"):
         secrets.finds(sign * (100_000 // len(sign)), ENC)
@@ -114,6 +175,74 @@ def test_two_cards_in_a_run():
     assert pii.spans("1.4111111111111111") == []
 
 
+def test_words_on_both_sides_and_one_kind_of_digits(spark):
+    score = lambda t: pii.spans(t, 0.0)[0][3]
+    assert score("4111 1111 1111 1111 is my card") == score("my card is 4111 1111 1111 1111") > score("see 4111 1111 1111 1111 there")
+    arabic = "phone +\u0664\u0664 \u0662\u0660\u0667\u0669 \u0664\u0666\u0660\u0669 \u0665\u0668"
+    assert pii.spans(arabic) == [] == pii.spans(arabic + " 7")
+    assert pii.find(frame(spark, [(1, arabic), (2, arabic + " 7")])).collect() == []
+
+
+def test_spans_put_there_are_the_spans_found(spark):
+    """An oracle by construction: values made with checksums computed here, between words that no pattern meets."""
+    r = random.Random(3)
+
+    def card():
+        d = [4] + [r.randrange(10) for _ in range(14)]
+        total = sum(sum(divmod(2 * x, 10)) if k % 2 == 0 else x for k, x in enumerate(d))
+        d.append(-total % 10)
+        return "".join(map(str, d))
+
+    def iban():
+        body = "".join(str(r.randrange(10)) for _ in range(18))
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    make = {
+        "email": lambda: f"u{r.randrange(999)}.x@mail{r.randrange(99)}.example.org", "ip": lambda: ".".join(str(r.randrange(1, 256)) for _ in range(4)), "phone": lambda: f"({r.randrange(200, 999)}) {r.randrange(200, 999)}-{r.randrange(1000, 9999)}",
+        "card": card, "iban": iban, "ssn": lambda: f"{r.randrange(100, 665)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}",
+    }
+    base = {"email": 0.9, "ip": 0.7, "phone": 0.7, "card": 0.8, "iban": 0.9, "ssn": 0.6}
+    cue = {"email": "contact", "ip": "host", "phone": "fax", "card": "visa", "iban": "bank", "ssn": "social"}
+    wrong = [str(int(card()[:-1] + "0") + 1 + (int(card()[-1]) == 1)) for _ in range(5)]
+    wrong = [w for w in wrong if not pii.luhn(w)]
+    rows, expected = [], []
+    for i in range(60):
+        text = "\u00e9 \U0001f642 "
+        for _ in range(r.randrange(1, 9)):
+            kind = r.choice(list(make))
+            filler = lambda: " ".join("".join(r.choice("bdgjk") for _ in range(6)) for _ in range(9)) + " "
+            named = r.random() < 0.5
+            text += filler() + (cue[kind] + " " if named else "")
+            value = make[kind]()
+            expected.append((i, kind, len(text), len(text) + len(value), round(min(1.0, base[kind] + 0.1 * named), 2)))
+            text += value + " " + filler() + r.choice(wrong) + " " if wrong else value + " "
+        rows.append((i, text))
+    assert sorted(tuple(x) for x in pii.find(frame(spark, rows)).collect()) == sorted(expected)
+
+
+def test_overlaps_are_settled_as_by_comparing_all():
+    r = random.Random(8)
+    for _ in range(300):
+        group = []
+        for _ in range(r.randrange(2, 12)):
+            a = r.randrange(30)
+            group.append((r.choice("xyz"), a, a + r.randrange(1, 9), r.choice((0.5, 0.7, 0.9))))
+        plain = []
+        for s in sorted(group, key=lambda s: (-s[3], s[1] - s[2], s[1], s[0])):
+            if all(s[2] <= t[1] or t[2] <= s[1] for t in plain):
+                plain.append(s)
+        assert pii._settled(group) == sorted(plain, key=lambda s: s[1])
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    text = "a.b@example.com 4111111111111111 " * 40_000
+    began = time.process_time()
+    assert len(pii.spans(text)) == 80_000
+    assert time.process_time() - began < 30
+
+
 def test_words_nearby_move_the_score():
     score = lambda t: pii.spans(t, 0.0)[0][3]
     assert score("ssn 123-45-6789") > score("see 123-45-6789") > score("part 123-45-6789")
