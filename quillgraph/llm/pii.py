@@ -1,9 +1,10 @@
 """Operator 8: personal data. Patterns propose spans, checksums confirm them, nearby words move the score.
 
 Kinds: e-mail, IPv4 address, telephone number, payment card (Luhn), IBAN (mod 97), US social security number. A span's score
-is its pattern's, raised or lowered by words within ``REACH`` characters before it; spans of at least ``threshold`` count.
-Where spans overlap the higher score wins, then the longer, then the earlier. Whole texts are searched; those without a
-digit and without an at sign hold no span and are told apart by their bytes first.
+is its pattern's, raised by words within ``REACH`` characters on either side that name its kind, lowered by words before it that
+name another (what follows a number names the next thing more often); spans of at least ``threshold`` count.
+Where spans overlap the higher score wins, then the longer, then the earlier. Digits are the ASCII ones. Whole texts are
+searched; those without a digit and without an at sign hold no span and are told apart by their bytes first.
 
 Edge cases: null and empty texts have no spans; redaction leaves them as they are. Rows that repeat give their spans as
 often as they occur; a null doc_id gives spans under null; other columns pass through redaction unread. Positions are
@@ -12,6 +13,7 @@ in characters (code points), from 0, the end excluded.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -27,12 +29,12 @@ _CUE = np.zeros(256, bool)
 _CUE[48:58] = _CUE[64] = True
 _LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,63})\Z")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])")
-_IPV4 = re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)")
-_PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[.\-])\d{3}[ .\-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)")
-_GROUPS = re.compile(r"(?<!\d)(?<!\d\.)\d+(?:[ \-]\d+)*")
+_IPV4 = re.compile(r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])")
+_PHONE = re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[.\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])")
+_GROUPS = re.compile(r"(?<![0-9])(?<![0-9]\.)[0-9]+(?:[ \-][0-9]+)*")
 _CARD_SHAPES = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3)}
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SSN = re.compile(r"(?<![\d\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_SSN = re.compile(r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])")
 _BASE = {"email": 0.9, "ip": 0.7, "phone": 0.7, "card": 0.8, "iban": 0.9, "ssn": 0.6}
 _FOR = {
     "email": r"e-?mail|mail|contact|reply",
@@ -63,7 +65,7 @@ def _cards(run: str) -> list[tuple[int, int]]:
     """Bounds of the cards in a run of digit groups: the whole run, however grouped, or else its sub-runs that are one
     group or grouped as cards are (in lists of numbers any other sub-run would often pass by chance). Of sub-runs that
     overlap the longer wins, then the earlier."""
-    groups = [(g.start(), g.end()) for g in re.finditer(r"\d+", run)]
+    groups = [(g.start(), g.end()) for g in re.finditer(r"[0-9]+", run)]
     digits = run.replace(" ", "").replace("-", "")
     first = [0]
     for a, b in groups:
@@ -98,7 +100,7 @@ def _proposed(text: str):
         if all(int(x) < 256 for x in m.group().split(".")):
             yield "ip", m.start(), m.end()
     for m in _PHONE.finditer(text):
-        if 7 <= sum(c.isdigit() for c in m.group()) <= 15:
+        if 7 <= sum("0" <= c <= "9" for c in m.group()) <= 15:
             yield "phone", m.start(), m.end()
     for m in _GROUPS.finditer(text):
         if m.end() - m.start() >= 13:
@@ -120,17 +122,36 @@ def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int
         return []
     found = []
     for kind, a, b in _proposed(text):
-        near = text[max(0, a - REACH) : a]
-        score = min(1.0, max(0.0, round(_BASE[kind] + 0.1 * bool(_FOR[kind].search(near)) - 0.3 * bool(_AGAINST[kind].search(near)), 2)))
+        before, after = text[max(0, a - REACH) : a], text[b : b + REACH]
+        named = bool(_FOR[kind].search(before) or _FOR[kind].search(after))
+        score = min(1.0, max(0.0, round(_BASE[kind] + 0.1 * named - 0.3 * bool(_AGAINST[kind].search(before)), 2)))
         if score >= threshold:
             found.append((kind, a, b, score))
     if len(found) < 2:
         return found
+    found.sort(key=lambda s: (s[1], s[2]))
     taken: list = []
-    for s in sorted(found, key=lambda s: (-s[3], s[1] - s[2], s[1], s[0])):
-        if all(s[2] <= t[1] or t[2] <= s[1] for t in taken):
-            taken.append(s)
-    return sorted(taken, key=lambda s: s[1])
+    lo, end = 0, found[0][2]
+    for hi in range(1, len(found) + 1):  # spans that overlap, directly or by others, are settled among themselves
+        if hi < len(found) and found[hi][1] < end:
+            end = max(end, found[hi][2])
+            continue
+        taken += found[lo:hi] if hi - lo == 1 else _settled(found[lo:hi])
+        if hi < len(found):
+            lo, end = hi, found[hi][2]
+    return taken
+
+
+def _settled(group: list) -> list:
+    """Of spans that overlap the higher score, then the longer, then the earlier; in order of place."""
+    starts: list[int] = []
+    taken: list = []
+    for s in sorted(group, key=lambda s: (-s[3], s[1] - s[2], s[1], s[0])):
+        k = bisect.bisect_left(starts, s[2])  # of those taken only the last that begins before s ends can reach into it
+        if not k or taken[k - 1][2] <= s[1]:
+            starts.insert(k, s[1])
+            taken.insert(k, s)
+    return taken
 
 
 def _cued(column: pa.Array) -> list[int]:
