@@ -9,6 +9,7 @@ A *word* is a maximal run of bytes other than the six ASCII white-space bytes (9
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,6 +18,7 @@ import pyarrow as pa
 
 SLICE_BYTES = 3 << 18
 MAX_ROWS = 1 << 15
+_REACH = 1024
 _BASE, _GRAM = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so invertible modulo 2**64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -90,13 +92,39 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+@functools.cache
+def _table() -> np.ndarray:
+    """A random 64-bit number for each place in a span, up to ``_REACH``, and each byte."""
+    return mix(np.arange(1, 256 * _REACH + 1, dtype=np.uint64) * np.uint64(_BASE))
+
+
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit content hashes of byte spans, whatever their place in ``data``."""
+    """64-bit content hashes of byte spans, in order and apart, whatever their place in ``data``.
+
+    A sum of random numbers that (place, byte) select, so two different spans collide by chance alone, one pair in 2**64,
+    whatever their structure (a polynomial modulo 2**64 would collide for Thue-Morse words). Who merges by this hash and
+    must not be wrong compares bytes too.
+    """
     n = len(data)
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    place = np.zeros(n, np.int32 if n < 1 << 31 else np.int64)
+    place[start] = start
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(n, dtype=place.dtype), place, out=place)
+    far = None
+    if int((end - start).max()) > _REACH:
+        far = np.flatnonzero(place >= _REACH)
+        block = place[far] // _REACH
+        place[far] %= _REACH
+    place <<= 8
+    place |= data
+    value = _table().take(place, mode="clip")
+    if far is not None:
+        value[far] *= mix(block.astype(np.uint64)) | np.uint64(1)
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=prefix[1:])
-    inverse = _powers(pow(_BASE, -1, 1 << 64), n + 1)
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(_GRAM))
+    np.cumsum(value, out=prefix[1:])
+    return mix(prefix[end] - prefix[start] + (end - start).astype(np.uint64) * np.uint64(_GRAM))
 
 
 def bounds(data: np.ndarray, offsets: np.ndarray, inked: np.ndarray = INK) -> tuple[np.ndarray, np.ndarray]:

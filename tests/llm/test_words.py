@@ -57,3 +57,31 @@ def test_statistics_do_not_depend_on_neighbours():
     assert not alone[1].any() and not alone[2].any()
     at = dict(zip(NAMES, range(len(NAMES)), strict=True))
     assert alone[4, at["repeat_next_ratio"]] == 0.75 and abs(alone[5, at["repeat_line_ratio"]] - 2 / 3) < 1e-9 and alone[6, at["long_word_ratio"]] == 1
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_thue_morse_words_keep_their_ids():
+    """They collide under any polynomial hash modulo 2**64."""
+    enc, t = encoding(), tokenizer(VOCABULARY)
+    for n in (512, 1024, 2048, 4096):
+        texts = [f"x {w} y" for w in thue_morse(n)]
+        part = next(slices(pa.array(texts)))
+        assert len(set(words(part).hash.tolist())) == 4
+        ids, ends = t.encode(part)
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [enc.encode_ordinary(x) for x in texts]
+        assert column_counts(pa.array(texts)).tolist() == [len(enc.encode_ordinary(x)) for x in texts]
+
+
+def test_units_of_one_hash_are_told_apart(monkeypatch):
+    from quillgraph.llm import tokens
+
+    monkeypatch.setattr(tokens, "span_hash", lambda data, start, end: np.full(len(start), 7, np.uint64))
+    texts = ["one two", "three  one\n", "two two", "", "owt"]
+    ids, ends = tokenizer(VOCABULARY).encode(next(slices(pa.array(texts))))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [encoding().encode_ordinary(x) for x in texts]
