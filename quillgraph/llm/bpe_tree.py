@@ -1,9 +1,10 @@
 """Operator 4: BPE encoding and decoding of texts of any length, by tree concatenation.
 
-A long text is halved until pieces are short; pieces are encoded in parallel (long documents are spread over tasks as
-rows), and neighbours are joined in pairs, as a tree. At each join a window around the seam, some tokens of both sides, is
-encoded again, and grows until its first token is the left side's and its last the right side's. That is exact by two
-facts. (1) A sequence is the encoding of its bytes if every two neighbours are, so where a window begins and ends with
+Every text is halved until pieces are short, wherever the middle falls, be it inside a word; pieces are encoded, and
+halves are joined, as a tree. At each join a window around the seam, some tokens of both sides, is encoded again, and
+grows until its first token is the left side's and its last the right side's. Texts of more than ``long_document``
+characters are spread: their pieces are encoded as rows of their own, and joined ``FAN_IN`` at a time in as many levels
+as the longest text needs, each level in parallel. That is exact by two facts. (1) A sequence is the encoding of its bytes if every two neighbours are, so where a window begins and ends with
 tokens of both sides, all pairs are right. (2) The pattern splits the window as it splits the text, if the window begins
 and ends at an edge that the pattern makes or respects: before white space that follows ink, or three letters (digits,
 other signs) into a run of them.
@@ -25,8 +26,9 @@ from .shared import buckets, tidy
 from .tokens import SLICE, VOCABULARY, encoding, tokenizer, vocabulary_bytes
 from .words import slices
 
-LEAF = 2048  # characters of an unsplit piece that is encoded at once
+LEAF = 1024  # characters of a piece that is encoded at once
 LONG_DOCUMENT = 1 << 16  # characters; longer documents are spread over tasks
+FAN_IN = 8  # pieces of a long document that one task joins
 _SPACE = " \t\n\r\f\v"
 
 
@@ -49,18 +51,11 @@ def safe(text: str, i: int) -> bool:
     return k != "S" and all(_kind(c) == k and c != "'" for c in text[i - 3 : i])
 
 
-def _trusted(text: str, i: int) -> bool:
-    """A seam between white space and ink is always one between pieces."""
-    return 0 < i < len(text) and text[i] in _SPACE and _kind(text[i - 1]) != "S"
-
-
-def joined(left: str, a: list[int], right: str, b: list[int], enc) -> list[int]:
-    """The encoding of left + right, from those of both."""
+def joined(left: str, a: list[int], right: str, b: list[int], enc, seen: list[int] | None = None) -> list[int]:
+    """The encoding of left + right, from those of both. ``seen`` counts joins, and those whose window came out anew."""
     if not a or not b:
         return list(a) + list(b)
     text = left + right
-    if _trusted(text, len(left)):
-        return list(a) + list(b)
     size = 4
     while True:
         size = min(size, max(len(a), len(b)))
@@ -73,114 +68,128 @@ def joined(left: str, a: list[int], right: str, b: list[int], enc) -> list[int]:
         except UnicodeDecodeError:  # a token that is part of a character
             window = None
         everything = na == len(a) and nb == len(b)
+        r = None
         if window is not None:
             r = enc.encode_ordinary(window)
-            open_left, open_right = na == len(a), nb == len(b)
-            fine_left = open_left or (r[0] == a[len(a) - na] and safe(text, cut))
-            fine_right = open_right or (r[-1] == b[nb - 1] and safe(text, end))
-            if everything or (fine_left and fine_right and len(r) > 1):
-                return list(a[: len(a) - na]) + r + list(b[nb:])
+            fine_left = na == len(a) or (r[0] == a[len(a) - na] and safe(text, cut))
+            fine_right = nb == len(b) or (r[-1] == b[nb - 1] and safe(text, end))
+            if not (everything or (fine_left and fine_right and len(r) > 1)):
+                r = None
         elif everything:
-            return enc.encode_ordinary(text)
+            r = enc.encode_ordinary(text)
+        if r is not None:
+            if seen is not None:
+                seen[0] += 1
+                seen[1] += r != list(a[len(a) - na :]) + list(b[:nb])
+            return list(a[: len(a) - na]) + r + list(b[nb:])
         size *= 2
 
 
-def encode_long(text: str, enc, leaf: int = LEAF) -> list[int]:
-    """The encoding of text, by halves."""
+def halves(text: str, leaf: int) -> list[str]:
+    """The leaves of the tree over text, from left to right: halves of halves, of at most ``leaf`` characters."""
     if len(text) <= leaf:
-        return enc.encode_ordinary(text)
+        return [text]
     i = len(text) // 2
-    for k in range(i, min(i + 64, len(text))):  # a seam between pieces, if one is near
-        if _trusted(text, k):
-            i = k
-            break
-    left, right = text[:i], text[i:]
-    return joined(left, encode_long(left, enc, leaf), right, encode_long(right, enc, leaf), enc)
-
-
-def leaves(text: str, size: int) -> list[str]:
-    """text in parts of about ``size`` characters, cut at seams between pieces where one is near."""
-    out, lo = [], 0
-    while len(text) - lo > size + size // 8:
-        hi = lo + size
-        near = next((k for k in range(hi, min(hi + size // 8, len(text))) if _trusted(text, k)), hi)
-        out.append(text[lo:near])
-        lo = near
-    return [*out, text[lo:]]
-
-
-def tree(parts: list[tuple[str, list[int]]], enc) -> list[int]:
-    """Joins neighbours in pairs until one is left."""
-    while len(parts) > 1:
-        level = [(parts[i][0] + parts[i + 1][0], joined(*parts[i], *parts[i + 1], enc)) for i in range(0, len(parts) - 1, 2)]
-        parts = level + parts[len(parts) - len(parts) % 2 :]
-    return parts[0][1] if parts else []
+    return halves(text[:i], leaf) + halves(text[i:], leaf)
 
 
-def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+def tree(parts: list[tuple[str, list[int]]], enc, seen: list[int] | None = None) -> tuple[str, list[int]]:
+    """Joins the halves of the list, each joined before."""
+    if len(parts) == 1:
+        return parts[0]
+    i = len(parts) // 2
+    left, right = tree(parts[:i], enc, seen), tree(parts[i:], enc, seen)
+    return left[0] + right[0], joined(*left, *right, enc, seen)
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, long_document: int = LONG_DOCUMENT, check: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every row; with ``check`` also ``exact``: whether decoding gives the text again."""
-    schema = "doc_id long, n_tokens long, ids array<int>" + ", exact boolean" * check
-    names = ["doc_id", "n_tokens", "ids"] + ["exact"] * check
+def encode_long(text: str, enc, leaf: int = LEAF) -> list[int]:
+    """The encoding of text, by halves."""
+    return tree([(t, enc.encode_ordinary(t)) for t in halves(text, leaf)], enc)[1]
+
+
+def _trees(texts: list[str], path: str, leaf: int) -> list[tuple[list[int], int, int]]:
+    """(ids, joins, joins whose window came out anew) of each text. The leaves of all texts are encoded in one call."""
+    t, enc = tokenizer(path), encoding(path)
+    cut = [halves(x, leaf) for x in texts]
+    own: list[list[int]] = []
+    for part in slices(pa.array([p for c in cut for p in c], pa.large_string()), SLICE):
+        ids, ends = t.encode(part)
+        flat, ends = ids.tolist(), ends.tolist()
+        own += [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    out, at = [], 0
+    for c in cut:
+        seen = [0, 0]
+        out.append((tree(list(zip(c, own[at : at + len(c)], strict=True)), enc, seen)[1], *seen))
+        at += len(c)
+    return out
+
+
+def encode(docs: DataFrame, path: str = VOCABULARY, long_document: int = LONG_DOCUMENT, check: bool = False, leaf: int = LEAF) -> DataFrame:
+    """(doc_id, n_tokens, ids, joins, mended) of every row: how many joins its tree has, and at how many of them the window
+    came out other than as the two sides had it. With ``check`` also ``exact``: whether decoding gives the text again."""
+    schema = "doc_id long, n_tokens long, ids array<int>, joins long, mended long" + ", exact boolean" * check
+    names = ["doc_id", "n_tokens", "ids", "joins", "mended"] + ["exact"] * check
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    longest = base.agg(F.max(F.length("text"))).first()[0] or 0
+
+    def rows(ids: list, times: list[int], found: list, texts: list) -> pa.RecordBatch:
+        null = [f is None for f in found]
+        columns = [pa.array(ids, pa.int64()), pa.array([None if f is None else len(f[0]) for f in found], pa.int64()), pa.array([None if f is None else f[0] for f in found], pa.list_(pa.int32()))]
+        columns += [pa.array([None if f is None else f[k] for f in found], pa.int64()) for k in (1, 2)]
+        if check:
+            enc = encoding(path)
+            columns.append(pa.array([None if n else enc.decode_bytes(f[0]) == x.encode() for n, f, x in zip(null, found, texts, strict=True)], pa.bool_()))
+        batch = pa.RecordBatch.from_arrays(columns, names)
+        return batch if set(times) <= {1} else batch.take(pa.array(np.repeat(np.arange(len(ids)), times)))
 
     def short(batches):
-        t = tokenizer(path)
-        table = vocabulary_bytes(path)
         for batch in batches:
-            text = batch.column("text")
-            null = np.asarray(text.is_null())
-            for part in slices(text, SLICE):
-                ids, ends = t.encode(part)
-                lists = _lists(ids, ends)
-                gone = null[part.lo : part.hi]
-                n = np.diff(ends)
-                arrays = [batch.column("doc_id").slice(part.lo, part.hi - part.lo), pa.array(n, mask=gone), lists]
-                if gone.any():
-                    arrays[2] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=np.append(gone, False)), pa.array(ids))
-                if check:
-                    back, at = decoded(ids, ends, table)
-                    same = np.array_equal(back, part.data) and np.array_equal(at, part.offsets)
-                    right = np.full(len(n), True) if same else np.array([np.array_equal(back[at[k] : at[k + 1]], part.data[part.offsets[k] : part.offsets[k + 1]]) for k in range(len(n))])
-                    arrays.append(pa.array(right, mask=gone))
-                yield pa.RecordBatch.from_arrays(arrays, names)
+            texts = batch.column("text")
+            for part in slices(texts, SLICE):
+                own = texts.slice(part.lo, part.hi - part.lo).to_pylist()
+                known = iter(_trees([x for x in own if x is not None], path, leaf))
+                found = [None if x is None else next(known) for x in own]
+                yield rows(batch.column("doc_id").slice(part.lo, part.hi - part.lo).to_pylist(), [1], found, own)
+
+    few = base.where(F.coalesce(F.length("text"), F.lit(0)) <= long_document).mapInArrow(tidy(short), schema)
+    if longest <= long_document:
+        return few
+
+    kinds = "doc_id long, row string, times long, piece long, text string, ids array<int>, joins long, mended long"
+    fields = [k.split()[0] for k in kinds.split(", ")]
 
     def split(batches):
         for batch in batches:
-            for i, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                parts = leaves(text, long_document // 2)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(parts), pa.int64()), pa.array([row] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int32()), pa.array(parts)], ["doc_id", "row", "leaf", "text"])
+            for i, row, times, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "times", "text")), strict=True):
+                parts = halves(text, long_document)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(parts), pa.int64()), pa.array([row] * len(parts), pa.string()), pa.array([times] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.string())], fields[:5])
 
-    def each_leaf(batches):
-        enc = encoding(path)
+    def encoded(batches):
         for batch in batches:
-            ids = [np.array(encode_long(t, enc), np.int32) for t in batch.column("text").to_pylist()]
-            lists = _lists(np.concatenate(ids), np.concatenate(([0], np.cumsum([len(x) for x in ids]))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "leaf", "text")), lists], ["doc_id", "row", "leaf", "text", "ids"])
-
-    def join(table: pa.Table) -> pa.Table:
-        enc = encoding(path)
-        order = np.argsort(table.column("leaf").to_numpy(), kind="stable")
-        text, lists = table.column("text").to_pylist(), table.column("ids").to_pylist()
-        ids = tree([(text[k], lists[k]) for k in order], enc)
-        times = table.num_rows // (int(table.column("leaf").to_numpy().max()) + 1)  # rows that repeat wholly
-        if times > 1:
-            ids = tree([(text[k], lists[k]) for k in order[::times]], enc)
-        whole = "".join(text[k] for k in order[::times])
-        columns = [pa.array([table.column("doc_id")[0].as_py()] * times, pa.int64()), pa.array([len(ids)] * times, pa.int64()), pa.array([ids] * times, pa.list_(pa.int32()))]
-        if check:
-            columns.append(pa.array([enc.decode(ids) == whole] * times))
-        return pa.table(columns, names)
-
-    is_long = F.coalesce(F.length("text"), F.lit(0)) > long_document
-    few = base.where(~is_long).mapInArrow(tidy(short), schema)
-    # xxhash64 of the text keeps apart different long texts under one id.
-    many = base.where(is_long).select("doc_id", F.concat_ws(":", F.xxhash64("text"), F.length("text")).alias("row"), "text").mapInArrow(tidy(split), "doc_id long, row string, leaf int, text string")
-    many = many.repartition(buckets(docs.sparkSession), "doc_id", "leaf").mapInArrow(tidy(each_leaf), "doc_id long, row string, leaf int, text string, ids array<int>")
-    return few.unionByName(many.groupBy("doc_id", "row").applyInArrow(join, schema))
+            found = _trees(batch.column("text").to_pylist(), path, leaf)
+            more = [pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields[:5]), *more], fields)
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts = sorted(table.to_pylist(), key=lambda r: r["piece"])
+        seen = [sum(r["joins"] for r in parts), sum(r["mended"] for r in parts)]
+        text, ids = tree([(r["text"], r["ids"]) for r in parts], encoding(path), seen)
+        one = parts[0] | {"piece": parts[0]["piece"] // FAN_IN, "text": text, "ids": ids, "joins": seen[0], "mended": seen[1]}
+        return pa.Table.from_pylist([one], pa.schema([("doc_id", pa.int64()), ("row", pa.string()), ("times", pa.int64()), ("piece", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("joins", pa.int64()), ("mended", pa.int64())]))
+
+    def finished(batches):
+        for batch in batches:
+            found = list(zip(*(batch.column(c).to_pylist() for c in ("ids", "joins", "mended")), strict=True))
+            yield rows(batch.column("doc_id").to_pylist(), batch.column("times").to_pylist(), found, batch.column("text").to_pylist())
+
+    # Rows that repeat wholly are one row with a number; the digest keeps apart different texts under one id.
+    many = base.where(F.length("text") > long_document).groupBy("doc_id", "text").agg(F.count("*").alias("times")).select("doc_id", F.sha2("text", 256).alias("row"), "times", "text")
+    many = many.mapInArrow(tidy(split), ", ".join(kinds.split(", ")[:5])).repartition(buckets(docs.sparkSession), "doc_id", "row", "piece").mapInArrow(tidy(encoded), kinds)
+    pieces = 2 * -(-longest // long_document)  # at most: halves may be a little over half as long as allowed
+    while pieces > 1:
+        many = many.groupBy("doc_id", "row", F.floor(F.col("piece") / FAN_IN)).applyInArrow(merge, kinds)
+        pieces = -(-pieces // FAN_IN)
+    return few.unionByName(many.mapInArrow(tidy(finished), schema))
 
 
 def decoded(ids: np.ndarray, ends: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

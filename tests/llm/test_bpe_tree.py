@@ -49,6 +49,24 @@ def test_encode_and_decode_every_row(spark, long_document):
     assert sorted(back, key=key) == sorted(rows, key=key)
 
 
+def test_windows_run_on_the_registered_table(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    out = bt.op4(spark, sf_dir)
+    joins, mended, wrong, rows = out.agg(F.sum("joins"), F.sum("mended"), F.sum((~F.col("exact")).cast("int")), F.count("*")).first()
+    assert joins > 100 and mended > 0.3 * joins and wrong == 0 and rows == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    some = {r.doc_id: r.ids for r in out.where("joins > 2").limit(20).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("doc_id").isin(list(some))).collect()}
+    assert all(ids == ENC.encode_ordinary(texts[i]) for i, ids in some.items())
+
+
+def test_levels_join_many_pieces(spark):
+    text = "".join(random.Random(4).choice("ab c") for _ in range(40_000))
+    out = bt.encode(frame(spark, [(1, text), (2, text + "x")]), long_document=300, leaf=64).collect()
+    assert {r.doc_id: r.ids for r in out} == {1: ENC.encode_ordinary(text), 2: ENC.encode_ordinary(text + "x")}
+    assert all(r.joins >= 255 for r in out)
+
+
 def test_empty(spark):
     assert bt.encode(frame(spark, [])).collect() == []
     assert bt.decode(bt.encode(frame(spark, []))).collect() == []
