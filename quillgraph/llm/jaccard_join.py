@@ -1,25 +1,30 @@
 """Operator 7: exact self-join of documents by the Jaccard similarity of their word n-grams (token-group matrix).
 
 A document's tokens are the distinct hashes of its runs of ``n`` plain words (letters and digits, ASCII case folded);
-of fewer words, the one run of them all. Two documents join if |a & b| / |a | b| >= ``threshold``.
-
-1. Tokens go to token buckets; only those of two documents or more can count, and go on to their documents, with the
-   number of documents that have them. A document with fewer than threshold * size such tokens joins nothing and is out.
-2. Documents with equal sets (exact copies and the like) are one from here on: a star of pairs to the least doc_id
-   stands for them. A pair of such leaders stands for all pairs of their copies. So copies cost no more than their number.
-3. Leaders are partitioned into groups of like ones: same least token hash, same size class. The token-group matrix is
+of fewer words, the one run of them all. Two documents are linked if |a & b| / |a | b| >= ``threshold``. The result is one
+row for each linked document: its class (the least doc_id that links lead to, over any number of steps) and how many
+links it has. Copies are never expanded into pairs, and no link between different texts is lost.
+
+1. What is joined are distinct token sets, told apart by a 64-bit signature; a task sends the tokens of each set once,
+   however many copies it meets. Tokens go to token buckets; only those of two sets or more can count, and go on to
+   their sets, with the number of sets that have them. A set with fewer than threshold * size such tokens joins nothing.
+2. Sets are partitioned into groups of like ones: same least token hash, same size class. The token-group matrix is
    the union of the members' prefixes (rarest tokens first; size - ceil(t size) + l of them). A group can hold a
    partner of q only if q's prefix shares at least l tokens with that union (the extended prefix bound) and sizes fit.
-4. Only qualifying groups are opened: q's whole set meets those of the members, and similarities are exact.
-
-Nothing is capped: the bound never loses a pair, whatever the order of tokens. The number of pairs of distinct near
-copies is quadratic in the size of their cluster, as the join's definition asks; everything before step 4 is linear in
-tokens, but for queries times groups of one cluster.
-
-Edge cases: null and empty texts, and texts of punctuation only, have no tokens and join nothing; rows with a null
-doc_id are left out; rows that repeat a doc_id count once (of several texts with one doc_id, tokens are united and the
-largest set's size is taken); an empty table gives no pairs; other columns are not looked at. Tokens are 48-bit
-hashes: two tokens of one pair of documents fall together about once in 10**9 pairs.
+3. Only qualifying groups are opened: q's whole set meets those of the members, and similarities are exact. A group of
+   more than ``BLOCK`` members or queries is solved in blocks of members by blocks of queries, each a task's work.
+4. An opened block gives, for each set in it, its links there (weighted by the partner's copies) and its tree; the
+   trees make the classes.
+
+Nothing is capped: the bound never loses a pair, whatever the order of tokens. Comparing distinct near copies is
+quadratic in the size of their cluster, as exact numbers of links ask; everything before step 3 is linear in tokens, but
+for queries times groups of one cluster, and the result is linear in documents.
+
+Edge cases: null and empty texts, and texts of punctuation only, have no tokens and no links; rows with a null doc_id are
+left out; rows that repeat a doc_id and its set count once; of a doc_id with several sets each is joined on its own, all
+are one document of one class, and its links are those of all its sets (its own other sets included); an empty table gives
+no rows; other columns are not looked at. Tokens are 48-bit hashes: two tokens of one pair of documents fall together
+about once in 10**9 pairs.
 """
 
 from __future__ import annotations
@@ -31,13 +36,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from .shared import PACKED, Packer, buckets, exchanged, gathered, join48, kept, packed_batch, place, repeated, runs, split48, texts, tidy, unpacked
 from .words import gram_at, grams, mix, slices, words
 
 N, THRESHOLD = 3, 0.5
+_SIZE = np.uint64(0x9E3779B97F4A7C15)
 _LOW48 = np.uint64((1 << 48) - 1)
-_SETS = "doc_id long, sig long, size int, grp long, n int, low binary, high binary"
+BLOCK = 8192  # members, and queries, of a group that one task compares
+_SETS = "kind int, doc_id long, sig long, size int, grp long, n int, low binary, high binary"
 
 
 def token_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -60,74 +68,99 @@ def token_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.n
 
 
 def _spread(n: int, parts: int):
-    """Texts to token entries (kind 0, by token) and set sizes (kind 1, by document)."""
+    """Texts to token entries of distinct sets (kind 0, by token), documents (kind 1, by document) and set sizes (kind 2)."""
 
     def each(batches):
-        tokens, sizes = Packer(parts, "i8 u4 u2"), Packer(parts, "i8 u4 u8", 1)
+        tokens, owners, sizes = Packer(parts, "u8 u4 u2"), Packer(parts, "i8 u8 u4", 1), Packer(parts, "u8 u4", 2)
+        seen: set[int] = set()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, doc, token, rows in token_sets(batch.column("text"), n):
-                who = ids[lo + doc]
-                yield from tokens.add(place(mix(token), parts), who, *split48(token))
                 at = np.searchsorted(doc, np.arange(rows + 1))
-                some = np.flatnonzero(np.diff(at))
+                size = np.diff(at)
+                some = np.flatnonzero(size)
+                mixed = mix(token)
+                sig = np.zeros(rows, np.uint64)
                 if len(some):
-                    own = ids[lo + some]
-                    yield from sizes.add(place(own, parts), own, np.diff(at)[some], np.add.reduceat(mix(token), at[some]))
-        yield from tokens.flush()
-        yield from sizes.flush()
+                    sig[some] = mix(np.add.reduceat(mixed, at[some]) + size[some].astype(np.uint64) * _SIZE)
+                own = ids[lo : lo + rows]
+                yield from owners.add(place(own, parts), own, sig, size)
+                _, first = np.unique(sig[some], return_index=True)
+                new = np.array([k for k in some[first].tolist() if int(sig[k]) not in seen], np.int64)
+                seen.update(sig[new].tolist())
+                fresh = np.zeros(rows, bool)
+                fresh[new] = True
+                mine = fresh[doc]
+                yield from tokens.add(place(mixed[mine], parts), sig[doc[mine]], *split48(token[mine]))
+                yield from sizes.add(place(sig[new], parts), sig[new], size[new])
+        for out in (tokens, owners, sizes):
+            yield from out.flush()
 
     return each
 
 
 def _shared_only(parts: int):
-    """Of a token bucket, the tokens that more than one document has, sent to their documents with that number."""
+    """Of a token bucket, the tokens that more than one set has, sent to their sets with that number."""
 
     def each(batches):
-        found = gathered(batches)
-        if 1 in found:
-            # The partition id is this bucket, and kind 1 entries are in their document's bucket already.
-            from pyspark import TaskContext
+        from pyspark import TaskContext
 
-            here = TaskContext.get().partitionId()
-            yield packed_batch([(here, 1, b.to_pybytes()) for b in found.pop(1)])
-        doc, low, high = unpacked(found.get(0, []), "i8 u4 u2")
-        if not len(doc):
+        found = gathered(batches)
+        here = TaskContext.get().partitionId()  # this bucket, in which entries of the other kinds are at home already
+        for kind in (1, 2):
+            if kind in found:
+                yield packed_batch([(here, kind, b.to_pybytes()) for b in found.pop(kind)])
+        sig, low, high = unpacked(found.pop(0, []), "u8 u4 u2")
+        if not len(sig):
             return
-        token, doc = repeated(join48(low, high), doc)
-        order = np.lexsort((doc, token))
-        token, doc = token[order], doc[order]
-        keep = np.ones(len(doc), bool)
-        keep[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
-        token, doc = token[keep], doc[keep]
+        token, sig = repeated(join48(low, high), sig)
+        order = np.lexsort((sig, token))
+        token, sig = token[order], sig[order]
+        keep = np.ones(len(sig), bool)
+        keep[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
+        token, sig = token[keep], sig[keep]
         size = np.diff(runs(token))
         often = np.repeat(size, size)
         keep = often > 1
-        out = Packer(parts, "i8 u4 u2 u4")
-        yield from out.add(place(doc[keep], parts), doc[keep], *split48(token[keep]), often[keep])
+        out = Packer(parts, "u8 u4 u2 u4")
+        yield from out.add(place(sig[keep], parts), sig[keep], *split48(token[keep]), often[keep])
         yield from out.flush()
 
     return each
 
 
 def _reduced(threshold: float):
-    """A document's shared tokens, rarest first; only of documents that can have a partner."""
+    """The bucket's documents with their sets (kind 0; n is the number of rows with that doc_id), and each set's shared
+    tokens, rarest first (kind 1), if it can have a partner."""
 
     def each(batches):
         found = gathered(batches)
-        own, size, sig = unpacked(found.get(1, []), "i8 u4 u8")
-        doc, low, high, often = unpacked(found.get(0, []), "i8 u4 u2 u4")
-        if not len(doc):
+        own, sig, size = unpacked(found.pop(1, []), "i8 u8 u4")
+        if len(own):
+            order = np.lexsort((sig, own))
+            own, sig, size = own[order], sig[order], size[order]
+            at = runs(own)
+            times = np.repeat(np.diff(at), np.diff(at))
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]) | (sig[1:] != sig[:-1])
+            own, sig, size, times = own[new], sig[new], size[new], times[new]
+            for lo in range(0, len(own), 50_000):
+                part = slice(lo, lo + 50_000)
+                m = len(own[part])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.zeros(m, np.int32)), pa.array(own[part]), pa.array(sig[part].view(np.int64)), pa.array(size[part].astype(np.int32)), pa.nulls(m, pa.int64()), pa.array(times[part].astype(np.int32)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], _FIELDS
+                )
+        known, size = unpacked(found.pop(2, []), "u8 u4")
+        known, first = np.unique(known, return_index=True)
+        size = size[first].astype(np.int64)
+        sig, low, high, often = unpacked(found.pop(0, []), "u8 u4 u2 u4")
+        if not len(sig):
             return
-        order = np.lexsort((size, own))  # of repeated ids the largest set is the last
-        own, size, sig = own[order], size[order], sig[order]
-        last = np.append(own[1:] != own[:-1], True)
-        own, size, sig = own[last], size[last].astype(np.int64), sig[last]
         token = join48(low, high)
-        order = np.lexsort((token, often, doc))
-        doc, token = doc[order], token[order]
-        at = runs(doc)
-        which = np.searchsorted(own, doc[at[:-1]])
+        order = np.lexsort((token, often, sig))
+        sig, token = sig[order], token[order]
+        at = runs(sig)
+        which = np.searchsorted(known, sig[at[:-1]])
         able = np.flatnonzero(np.diff(at) >= np.ceil(threshold * size[which] - 1e-9))
         rows = []
         for k in able.tolist():
@@ -136,7 +169,7 @@ def _reduced(threshold: float):
             s = int(size[which[k]])
             least = np.uint64(mix(t).min()) >> np.uint64(8)
             grp = int((least << np.uint64(6)) | np.uint64(int(2 * math.log2(s)))) & ((1 << 63) - 1)
-            rows.append((int(doc[at[k]]), int(sig[which[k]].astype(np.int64)), s, grp, len(t), low.tobytes(), high.tobytes()))
+            rows.append((1, None, int(sig[at[k]].astype(np.int64)), s, grp, len(t), low.tobytes(), high.tobytes()))
             if len(rows) >= 2000:
                 yield _set_batch(rows)
                 rows = []
@@ -146,9 +179,12 @@ def _reduced(threshold: float):
     return each
 
 
+_FIELDS = [x.split()[0] for x in _SETS.split(", ")]
+
+
 def _set_batch(rows: list) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "sig", "size", "grp", "n", "low", "high"])
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _FIELDS)
 
 
 def prefix_extra(alpha: np.ndarray) -> np.ndarray:
@@ -157,12 +193,12 @@ def prefix_extra(alpha: np.ndarray) -> np.ndarray:
 
 
 def _matrix_entries(threshold: float, parts: int):
-    """Prefix tokens of each leader, with its group and size, to token buckets."""
+    """Prefix tokens of each set, with its group and size, to token buckets."""
 
     def each(batches):
         out = Packer(parts, "i8 u4 u2 i8 u4")
         for batch in batches:
-            for doc, size, grp, n, low, high in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "size", "grp", "n", "low", "high")), strict=True):
+            for doc, size, grp, n, low, high in zip(*(batch.column(c).to_pylist() for c in ("sig", "size", "grp", "n", "low", "high")), strict=True):
                 alpha = math.ceil(threshold * size - 1e-9)
                 take = size - alpha + int(prefix_extra(alpha)) - (size - n)
                 if take > 0:
@@ -221,20 +257,34 @@ def _overlaps(threshold: float):
         pair, inverse = np.unique(np.concatenate(total[0]), return_inverse=True)
         count = np.bincount(inverse, np.concatenate(total[1]), minlength=len(pair)).astype(np.int32) if len(pair) else np.zeros(0, np.int32)
         d = pair // max(1, len(groups))
-        yield pa.RecordBatch.from_arrays([pa.array(own[d]), pa.array(groups[pair % max(1, len(groups))]), pa.array(count), pa.array(doc_size[d].astype(np.int32))], ["doc_id", "grp", "c", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(own[d]), pa.array(groups[pair % max(1, len(groups))]), pa.array(count), pa.array(doc_size[d].astype(np.int32))], ["sig", "grp", "c", "size"])
 
     return each
 
 
-def _opened(threshold: float):
-    """Rows sorted by group: members (role 0) and queries that open it (role 1). Exact similarities of q < member."""
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index of the component of each of n vertices, by edges (a, b)."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _opened(threshold: float, pairs: bool):
+    """Rows sorted by block: members (role 0) and queries that open their group (role 1). Exact similarities; of two
+    sets the one of the lesser signature asks. Gives the pairs (v, u, jaccard), or for each set that has any the least row
+    of its tree and its number of links, weighted by copies (v, u, c)."""
 
     def solve(rows: list) -> pa.RecordBatch | None:
-        grp = np.array([r[0] for r in rows])
-        role, ids, size = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
-        tokens = [join48(np.frombuffer(r[4], np.uint32), np.frombuffer(r[5], np.uint16)) for r in rows]
-        _, g = np.unique(grp, return_inverse=True)
-        parts: tuple[list, list, list] = ([], [], [])
+        _, g = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
+        role, sig, size, copies = (np.array([r[i] for r in rows]) for i in (1, 2, 3, 4))
+        tokens = [join48(np.frombuffer(r[5], np.uint32), np.frombuffer(r[6], np.uint16)) for r in rows]
         members = np.flatnonzero(role == 0)
         queries = np.flatnonzero(role == 1)
         if not len(members) or not len(queries):
@@ -243,6 +293,9 @@ def _opened(threshold: float):
         who = np.repeat(members, [len(tokens[i]) for i in members])
         order = np.argsort(key, kind="stable")
         key, who = key[order], who[order]
+        _, vertex, back = np.unique(sig, return_index=True, return_inverse=True)  # a set may be member and query
+        links, label = np.zeros(len(vertex), np.int64), np.arange(len(vertex))
+        out: tuple[list, list, list] = ([], [], [])
         lo = 0
         while lo < len(queries):
             hi, held = lo, 0
@@ -257,58 +310,120 @@ def _opened(threshold: float):
             left, times = np.concatenate([x[1] for x in qs]), np.concatenate([x[2] for x in qs])
             q = np.repeat(np.repeat([x[0] for x in qs], [len(x[1]) for x in qs]), times)
             m = who[np.repeat(left - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())]
-            fine = ids[q] < ids[m]
+            fine = sig[q] < sig[m]
             pair, count = np.unique(q[fine] * len(rows) + m[fine], return_counts=True)
             q, m = pair // len(rows), pair % len(rows)
             j = count / np.maximum(size[q] + size[m] - count, 1)
             good = j >= threshold - 1e-12
-            for part, x in zip(parts, (ids[q], ids[m], j), strict=True):
-                part.append(x[good])
+            q, m = q[good], m[good]
+            if pairs:
+                for part, x in zip(out, (sig[q], sig[m], np.minimum(j[good], 1.0)), strict=True):
+                    part.append(x)
+            else:
+                np.add.at(links, back[q], copies[m])
+                np.add.at(links, back[m], copies[q])
+                every = np.arange(len(vertex))
+                label = _labels(len(vertex), np.concatenate((back[q], every)), np.concatenate((back[m], label)))
             lo = hi
-        a, b, j = (np.concatenate(p) for p in parts)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.minimum(j, 1.0))], ["doc_a", "doc_b", "jaccard"])
+        if pairs:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in out], ["v", "u", "jaccard"])
+        some = np.flatnonzero(links)
+        own = sig[vertex]
+        return pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(own[label[some]]), pa.array(links[some])], ["v", "u", "c"])
 
     def each(batches):
         rows, held, groups = [], 0, 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "role", "doc_id", "size", "low", "high")), strict=True):
+            for grp, mb, qb, *rest in zip(*(batch.column(c).to_pylist() for c in ("grp", "mb", "qb", "role", "sig", "size", "k", "low", "high")), strict=True):
+                row = ((grp, mb, qb), *rest)
                 if rows and row[0] != rows[-1][0]:
                     groups += 1
                     if held > 1 << 20 or groups > 60_000:
-                        done = solve(rows)
+                        done = solve(_numbered(rows))
                         if done is not None:
                             yield done
                         rows, held, groups = [], 0, 0
                 rows.append(row)
-                held += len(row[5]) // 2
-        done = solve(rows) if rows else None
+                held += len(row[6]) // 2
+        done = solve(_numbered(rows)) if rows else None
         if done is not None:
             yield done
 
     return each
 
 
-def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (doc_a, doc_b, jaccard): doc_a < doc_b. Of documents with equal sets, see step 2 above."""
+def _numbered(rows: list) -> list:
+    """Rows with their block's number in place of the block."""
+    number: dict = {}
+    return [(number.setdefault(r[0], len(number)), *r[1:]) for r in rows]
+
+
+def _joined(docs: DataFrame, n: int, threshold: float, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, sig, size, n) of the documents; (sig, cid, k) of the classes of equal sets; what _opened gives."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold is in (0, 1] and n is positive")
     spark = docs.sparkSession
     parts = buckets(spark)
     spread = exchanged(texts(docs).mapInArrow(tidy(_spread(n, parts)), PACKED), parts)
     shared = exchanged(spread.mapInArrow(tidy(_shared_only(parts)), PACKED), parts)
-    sets = kept(shared.mapInArrow(tidy(_reduced(threshold)), _SETS))
-    leads = sets.groupBy("sig", "size").agg(F.min("doc_id").alias("lead"))
-    copies = sets.select("doc_id", "sig", "size").join(leads, ["sig", "size"]).where("doc_id <> lead").select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    leaders = kept(sets.join(leads.select(F.col("lead").alias("doc_id")), "doc_id", "left_semi"))
-    matrix = exchanged(leaders.select("doc_id", "size", "grp", "n", "low", "high").mapInArrow(tidy(_matrix_entries(threshold, parts)), PACKED), parts)
+    all_ = kept(shared.mapInArrow(tidy(_reduced(threshold)), _SETS))
+    owners = all_.where("kind = 0").select("doc_id", "sig", "size", "n")
+    classes = kept(owners.where("size > 0").groupBy("sig").agg(F.min("doc_id").alias("cid"), F.count("*").alias("k")))
+    sets = kept(all_.where("kind = 1").select("sig", "size", "grp", "n", "low", "high").join(classes.select("sig", "k"), "sig"))
+    matrix = exchanged(sets.select("sig", "size", "grp", "n", "low", "high").mapInArrow(tidy(_matrix_entries(threshold, parts)), PACKED), parts)
     t = F.lit(float(threshold))
     needed = F.floor(F.ceil(t * F.ceil(t * F.col("size") - 1e-9) - 1e-9) / 16) + 1
-    opened = matrix.mapInArrow(tidy(_overlaps(threshold)), "doc_id long, grp long, c int, size int").groupBy("doc_id", "grp").agg(F.sum("c").alias("c"), F.max("size").alias("size")).where(F.col("c") >= needed)
-    members = leaders.select("grp", F.lit(0).alias("role"), "doc_id", "size", "low", "high")
-    queries = leaders.drop("grp").join(opened.select("doc_id", "grp"), "doc_id").select("grp", F.lit(1).alias("role"), "doc_id", "size", "low", "high")
-    both = members.unionByName(queries).repartition(parts, "grp").sortWithinPartitions("grp")
-    near = both.mapInArrow(tidy(_opened(threshold)), "doc_a long, doc_b long, jaccard double")
-    return copies.unionByName(near)
+    opened = matrix.mapInArrow(tidy(_overlaps(threshold)), "sig long, grp long, c int, size int").groupBy("sig", "grp").agg(F.sum("c").alias("c"), F.max("size").alias("size")).where(F.col("c") >= needed)
+    opened = kept(opened.select("sig", "grp"))
+    # Groups too large for a task, with the number of blocks on either side.
+    large = sets.groupBy("grp").agg(F.count("*").alias("m")).join(opened.groupBy("grp").agg(F.count("*").alias("q")), "grp").where(f"m > {BLOCK} OR q > {BLOCK}")
+    large = kept(large.select("grp", F.ceil(F.col("m") / BLOCK).alias("nm"), F.ceil(F.col("q") / BLOCK).alias("nq")))
+
+    def blocked(side: DataFrame, role: int) -> DataFrame:
+        mine, other = ("nm", "nq") if role == 0 else ("nq", "nm")
+        block = F.pmod(F.xxhash64("sig"), F.coalesce(F.col(mine), F.lit(1))).cast("int").alias("own")
+        side = side.join(large, "grp", "left").select("grp", "sig", "size", "k", "low", "high", block, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)).cast("int") - 1)).alias("other"))
+        mb, qb = ("own", "other") if role == 0 else ("other", "own")
+        return side.select("grp", F.col(mb).alias("mb"), F.col(qb).alias("qb"), F.lit(role).alias("role"), "sig", "size", "k", "low", "high")
+
+    both = blocked(sets, 0).unionByName(blocked(sets.drop("grp").join(opened, "sig"), 1))
+    both = both.repartition(parts, "grp", "mb", "qb").sortWithinPartitions("grp", "mb", "qb")
+    return owners, classes, both.mapInArrow(tidy(_opened(threshold, pairs)), "v long, u long, jaccard double" if pairs else "v long, u long, c long")
+
+
+def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (doc_a, doc_b, jaccard), doc_a < doc_b, between the least documents of different sets; each further document
+    of a set is a pair with its least one."""
+    owners, classes, near = _joined(docs, n, threshold, True)
+    a, b = (classes.select(F.col("sig").alias(v), F.col("cid").alias(c)) for v, c in (("v", "a"), ("u", "b")))
+    between = near.join(a, "v").join(b, "u").where("a <> b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
+    copies = owners.where("size > 0").join(classes.where("k > 1"), "sig").where("doc_id <> cid").select(F.col("cid").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    return copies.unionByName(between)
+
+
+def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class_id, n_links) of linked documents, and the documents' table of _joined."""
+    owners, classes, near = _joined(docs, n, threshold, False)
+    near = kept(near)
+    several = owners.where("n > 1 AND size > 0").groupBy("doc_id").agg(F.min("sig").alias("u"), F.collect_set("sig").alias("all")).where(F.size("all") > 1)
+    edges = near.select("v", "u").where("v <> u").unionByName(several.select(F.explode("all").alias("v"), "u").where("v <> u"))
+    found = components(edges, "v", "u").select(F.col("doc_id").alias("sig"), F.col("group_id").alias("root"))
+    least = classes.join(found, "sig").groupBy("root").agg(F.min("cid").alias("class_id"))
+    links = near.groupBy(F.col("v").alias("sig")).agg(F.sum("c").alias("c"))
+    of_set = classes.join(links, "sig", "left").join(found.join(least, "root").select("sig", "class_id"), "sig", "left")
+    of_set = kept(of_set.select("sig", "k", F.coalesce("class_id", "cid").alias("class_id"), (F.col("k") - 1 + F.coalesce("c", F.lit(0))).alias("n_links")).where("n_links > 0"))
+    # Sets of very many copies meet their documents by broadcast: fewer than 100,000 sets can have over a 100,000th of all.
+    total = owners.count()
+    limit = max(10_000, total // 100_000)
+    hot = F.broadcast(of_set.where(F.col("k") > limit).select("sig", "class_id", "n_links"))
+    own = owners.where("size > 0").select("doc_id", "sig")
+    rows = own.join(hot, "sig").unionByName(own.join(F.broadcast(of_set.where(F.col("k") > limit).select("sig")), "sig", "left_anti").join(of_set.where(F.col("k") <= limit).select("sig", "class_id", "n_links"), "sig"))
+    return rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links")), owners
+
+
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_links): a row for every document that has a link."""
+    return _linked(docs, n, threshold)[0]
 
 
 def _forest(batches):
@@ -359,27 +474,40 @@ def components(pairs: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, in their own columns, without all but the least doc_id of each group of joined documents. A document
-    without partners stays, as do rows with a null doc_id; of rows that repeat a doc_id one stays."""
-    groups = components(jaccard_join(docs, n, threshold), "doc_a", "doc_b")
-    gone = groups.where("doc_id <> group_id").select(F.col("doc_id").alias("__quill_gone"))
-    once = docs.where("doc_id IS NULL").unionByName(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    return once.join(gone, once["doc_id"].cast("long") == gone["__quill_gone"], "left_anti")
+    """docs, in their own columns, without all but the least doc_id of each class of linked documents. A document without
+    links stays, as do rows with a null doc_id; of rows that repeat a doc_id the least stays, by text and then by the
+    other columns in their order (columns that have no order don't count)."""
+    linked, owners = _linked(docs, n, threshold)
+    gone = linked.where("doc_id <> class_id").select(F.col("doc_id").alias("__quill_id"))
+    again = owners.where("n > 1").select(F.col("doc_id").alias("__quill_id")).distinct()
+    out = kept(gone.unionByName(again).distinct())
+    alone = docs.join(out, docs["doc_id"].cast("long") == out["__quill_id"], "left_anti")
+    again = kept(again.join(gone, "__quill_id", "left_anti"))
+    if again.isEmpty():
+        return alone
+    rows = docs.join(again, docs["doc_id"].cast("long") == again["__quill_id"])
+    ordered = [c for c in docs.columns if c != "text" and not isinstance(docs.schema[c].dataType, (MapType, VariantType))]
+    rest = F.struct(*[docs[c] for c in docs.columns])
+    one = rows.groupBy("__quill_id").agg(F.min_by(rest, F.struct(docs["text"], *[docs[c] for c in ordered])).alias("__quill_row"))
+    return alone.unionByName(one.select("__quill_row.*"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 SQL = """
-WITH w AS (SELECT DISTINCT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+WITH RECURSIVE w AS (SELECT DISTINCT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                 '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
-s AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_sort(list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])))
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 3 THEN list_sort(list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])))
                      ELSE [array_to_string(ws, ' ')] END AS g FROM w WHERE len(ws) > 0),
-k AS (SELECT doc_id, g, len(g) AS n, min(doc_id) OVER (PARTITION BY g) AS lead FROM s),
-t AS (SELECT doc_id, n, unnest(g) AS token FROM k WHERE doc_id = lead),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.n AS na, b.n AS nb, count(*) AS c FROM t a JOIN t b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, c / (na + nb - c) AS jaccard FROM p WHERE c / (na + nb - c) >= 0.5
-UNION ALL
-SELECT lead AS doc_a, doc_id AS doc_b, CAST(1.0 AS DOUBLE) AS jaccard FROM k WHERE doc_id <> lead
+d AS MATERIALIZED (SELECT doc_id, md5(array_to_string(g, '|')) AS cls, g FROM s),
+k AS MATERIALIZED (SELECT cls, any_value(g) AS g, any_value(len(g)) AS n, min(doc_id) AS lead, count(*) AS k FROM d GROUP BY cls),
+t AS MATERIALIZED (SELECT cls, n, k, unnest(g) AS token FROM k),
+p AS MATERIALIZED (SELECT a.cls AS a, b.cls AS b, any_value(b.k) AS kb FROM t a JOIN t b ON a.token = b.token AND a.cls <> b.cls GROUP BY a.cls, b.cls, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.5),
+l AS (SELECT k.cls, k.k - 1 + coalesce(sum(p.kb), 0) AS links FROM k LEFT JOIN p ON k.cls = p.a GROUP BY k.cls, k.k),
+e AS MATERIALIZED (SELECT a, b FROM p UNION SELECT x.cls, y.cls FROM d x JOIN d y ON x.doc_id = y.doc_id AND x.cls <> y.cls),
+r AS (SELECT cls, lead AS lab FROM k UNION SELECT e.b, r.lab FROM r JOIN e ON e.a = r.cls JOIN k ON k.cls = e.b WHERE r.lab < k.lead),
+c AS (SELECT cls, min(lab) AS class_id FROM r GROUP BY cls)
+SELECT doc_id, min(class_id) AS class_id, CAST(sum(links) AS BIGINT) AS n_links FROM d JOIN c USING (cls) JOIN l USING (cls) GROUP BY doc_id HAVING sum(links) > 0
 """

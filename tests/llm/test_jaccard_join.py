@@ -67,7 +67,48 @@ def test_many_copies_are_a_star(spark):
     assert set(found) == {(0, i) for i in range(1, 300)} | {(0, 1000)}
 
 
+def brute_classes(rows, n=3, threshold=0.5):
+    """(doc_id: (class, links)) by comparing all entries of a document and a set with all others."""
+    entries = sorted({(i, tuple(sorted(tokens(t, n)))) for i, t in rows if i is not None and tokens(t, n)})
+    sets = [frozenset(s) for _, s in entries]
+    links, up = [0] * len(entries), {i: i for i, _ in entries}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(entries)), 2):
+        if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold:
+            links[a] += 1
+            links[b] += 1
+            x, y = root(entries[a][0]), root(entries[b][0])
+            up[max(x, y)] = min(x, y)
+    total = {}
+    for (i, _), c in zip(entries, links, strict=True):
+        total[i] = total.get(i, 0) + c
+    return {i: (root(i), c) for i, c in total.items() if c}
+
+
+@pytest.mark.parametrize(("block", "threshold"), [(8192, 0.5), (2, 0.5), (3, 0.8)])
+def test_classes_equal_brute_force(spark, monkeypatch, block, threshold):
+    """Also with blocks so small that groups are solved in many of them."""
+    monkeypatch.setattr(jj, "BLOCK", block)
+    twice = [(40, prose(70, 31)), (40, prose(70, 32)), (41, prose(70, 31) + " end"), (42, prose(70, 32)), (43, prose(70, 33)), (43, "other words here"), (44, prose(70, 33) + " z")]
+    rows = awkward() + near_copies() + twice + [(i, prose(50, 9)) for i in range(2000, 2060)] + [(3000, prose(50, 9) + " end")]
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jj.classes(frame(spark, rows), threshold=threshold).collect()}
+    assert found == brute_classes(rows, threshold=threshold)
+    assert len(found) > 70
+
+
+def test_rows_that_repeat_an_id_leave_the_least(spark):
+    rows = [(1, "b c d e f g"), (1, "a c d e f g"), (2, None), (2, None), (3, ""), (3, "zz y x"), (4, "b c d e f g"), (None, "b c d e f g")]
+    kept = sorted(((r.doc_id, r.text) for r in jj.one_of_each(frame(spark, rows)).collect()), key=repr)
+    assert kept == sorted([(1, "a c d e f g"), (2, None), (3, ""), (None, "b c d e f g")], key=repr)
+
+
 def test_empty(spark):
+    assert jj.classes(frame(spark, [])).collect() == []
     assert jj.jaccard_join(frame(spark, [])).collect() == []
     assert jj.one_of_each(frame(spark, [])).collect() == []
 
