@@ -291,10 +291,13 @@ def best_bin_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1) -> floa
 
 
 def _best_bin(n: int, above: np.ndarray, total: float, delta: float = 0.1) -> float:
-    """The estimate from how many of ``total`` unlabelled scores reach each of n positive ones, in rising order."""
+    """The estimate from how many of ``total`` unlabelled scores reach each of n positive ones, in rising order. The
+    confidence follows the shares' own variance (Bernstein's bound): where nearly all positives are above, their share is
+    nearly certain, which one width for all thresholds would not see."""
     fp = 1 - np.arange(n) / n
     fu = above / total
-    slack = np.sqrt(np.log(4 / delta) / 2 / total) + np.sqrt(np.log(4 / delta) / 2 / n)
+    log = np.log(4 / delta)
+    slack = sum(np.sqrt(2 * f * (1 - f) * log / m) + log / (3 * m) for f, m in ((fp, n), (fu, total)))
     best = np.argmin((fu + slack) / fp)
     return float(np.clip(fu[best] / fp[best], 0, 1))
 
