@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 from quillgraph.llm import suffix_dedup as sd
 
@@ -104,3 +105,12 @@ def test_cut_removes_what_was_found_and_nothing_else(spark):
     assert sorted(flat(i, t) for i, t, _ in got) == sorted(flat(i, t) for i, t in expected)
     assert all(n == len(t) for _, t, n in got if t is not None)
     assert sd.repeated_spans(out).collect() == []
+
+
+def test_passages_that_fall_together_in_the_first_hash_are_told_apart(spark, monkeypatch):
+    """With only 4 of the 48 bits left nearly all passages share a key; the second hash must split them."""
+    real = sd.split48
+    monkeypatch.setattr(sd, "split48", lambda key: real(key & np.uint64(15)))
+    rows = [(i, prose(140, 500 + i, words=5000)) for i in range(12)] + [(50 + i, prose(60, 700 + i, words=5000) + " " + prose(80, 600, words=5000)) for i in range(4)]
+    got = sorted((r.doc_id, r.first_doc) for r in sd.repeated_spans(frame(spark, rows)).collect())
+    assert got == [(51, 50), (52, 50), (53, 50)]
