@@ -62,12 +62,26 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def kept_so_far() -> int:
+    return len(_kept)
+
+
+def drop_kept(since: int) -> None:
+    """Deletes the tables kept since then, but for the last, into which they have gone."""
+    for spark, path in _kept[since:-1]:
+        _delete(spark, path)
+    del _kept[since:-1]
+
+
 def _sweep() -> None:
     for spark, path in _kept:
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session has ended already; its folder is not ours to keep
             return
 

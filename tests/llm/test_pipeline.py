@@ -66,3 +66,14 @@ def test_empty_corpus(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_clashing_columns_long_texts_and_ties(spark, folder, tmp_path):
+    """``frame`` adds columns named as the operators' own; here also long texts, repeated rows and texts that tie."""
+    long = " ".join(good(5000 + i) for i in range(300))
+    rows = [(i, bad(i) if i % 5 == 0 else good(i)) for i in range(300)] + [(2000, long), (2001, long), (2000, long), (2002, long + " end"), (2003, good(2003)), (2003, good(2003))]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = [r.doc_id for r in cp.run(spark, str(tmp_path)).collect()]
+    assert ids.count(2000) == 1 and not {2001, 2002} & set(ids) and ids.count(2003) == 1
+    assert not {i for i in ids if i < 300 and i % 5 == 0} and sum(i < 300 for i in ids) > 230
