@@ -1,11 +1,14 @@
 """A corpus pipeline of five stages, each the whole of an operator of quillgraph.llm over all that the stage before kept.
 
-quality: documents that the PU classifier rejects go. near_duplicates: of each group of documents that the n-gram Jaccard
-join connects, the least doc_id stays. repeats: passages of 50 words or more that an earlier document has are cut.
+quality: documents that the PU classifier rejects go. near_duplicates: of each class of documents that the n-gram Jaccard
+join links, the least doc_id stays. repeats: passages of 50 words or more that an earlier document has are cut.
 private: personal data are replaced by their kind. packing: the final documents are laid out in batches.
 
-Every stage but the last returns the columns of ``documents``; the operators' docstrings say what becomes of nulls, empty
-texts, repeated rows and empty tables. The models and hashes cannot be written in SQL, so ORACLE_SQL is None.
+Every stage but the last returns the columns of ``documents``, further and clashing ones among them, untouched but for ``text``
+and ``n_chars``. Null and empty texts go in the first stage, as nothing vouches for them; rows with a null doc_id stay in
+all stages and are packed as null; rows that repeat a doc_id are one document from the second stage on; very long texts
+are worked on whole; ties go to the least doc_id; an empty table gives no rows. The models and hashes cannot be written in
+SQL, so ORACLE_SQL is None.
 """
 
 from __future__ import annotations
@@ -45,10 +48,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each one's result written in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in order, each one's result written in the shared folder and read again; what a stage kept there for itself
+    goes when its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared.kept_so_far()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = shared.kept(docs)
+            shared.drop_kept(before)
     return docs
