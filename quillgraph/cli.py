@@ -40,7 +40,7 @@ def main(args: list[str] | None = None) -> int:
             print(line.extract_references().count(), "references")
         elif a.stage == "dedup":
             if a.raw:
-                raw = files.read_table(spark, a.raw, schema.RAW_REFERENCES)
+                raw = files.read_table(spark, a.raw, schema.RAW_PLACED)
                 files.write_table(raw, line.at.at("raw"))
             table, edges = line.deduplicate()
             print(table.count(), "references,", edges.count(), "edges")

@@ -101,3 +101,6 @@ def row_names(listed, joined) -> list[str]:
         items = [str(x) for x in listed if x is not None]
         return split_joined(items[0]) if len(items) == 1 and (";" in items[0] or items[0].count(",") > 1) else items
     return split_joined(joined)
+
+
+parse_author = parse

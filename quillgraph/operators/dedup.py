@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.similarity import token_set_of
+from ..functions.similarity import token_set, token_set_of
 from ..sources.files import cut
 from ..sources.schema import require_columns
 
@@ -27,10 +28,11 @@ class DedupConfig:
     threshold: float = 85.0
 
 
-def years_fit(a: Column, b: Column, window: int) -> Column:
-    """Missing (null or not positive) years fit any; years are integers here, so none is unreadable."""
+def years_fit(a: Column, b: Column, window: int, readable: Column | None = None) -> Column:
+    """Missing (null or not positive) years fit any; where ``readable`` is false, for what can't be read, none fits."""
     missing = lambda y: y.isNull() | (y <= 0)
-    return missing(a) | missing(b) | (F.abs(a - b) <= window)
+    fit = missing(a) | missing(b) | (F.abs(a - b) <= window)
+    return fit if readable is None else fit & readable
 
 
 def readable_year(text: Column) -> tuple[Column, Column]:
@@ -40,9 +42,24 @@ def readable_year(text: Column) -> tuple[Column, Column]:
     return F.when(year > 0, year), (bare == "") | year.isNotNull()
 
 
+def complete(records: DataFrame) -> DataFrame:
+    """Records with every column that clustering reads. Title and Year must be there, and Authors or Authors_List; ``year_ok``
+    is false where a year is a text that can't be read."""
+    require_columns(records, ["Title", "Year"], "records")
+    if "Authors" not in records.columns:
+        require_columns(records, ["Authors_List"], "records without Authors")
+        records = records.withColumn("Authors", F.array_join("Authors_List", ", "))
+    if "Journal" not in records.columns:
+        records = records.withColumn("Journal", F.lit(""))
+    if records.schema["Year"].dataType.typeName() == "string":
+        year, readable = readable_year(F.col("Year"))
+        return records.withColumns({"year_ok": readable, "Year": year})
+    return records.withColumn("year_ok", F.coalesce("year_ok", F.lit(True)) if "year_ok" in records.columns else F.lit(True))
+
+
 def keyed(records: DataFrame) -> DataFrame:
     """Records with blocking keys; ``ord`` is the order that clustering follows."""
-    require_columns(records, ["ord", "Title", "Authors", "Journal", "Year"], "records")
+    records = complete(require_columns(records, ["ord", "Title", "Authors", "Journal", "Year"], "records"))
     listed = F.col("Authors_List") if "Authors_List" in records.columns else None
     return records.withColumns({"author_key": tx.first_author(F.col("Authors"), listed), "title_key": tx.title_block(F.col("Title"))})
 
@@ -53,9 +70,9 @@ def candidates(blocks: DataFrame, window: int = 1) -> DataFrame:
     Records without an author meet every earlier one, as the rule asks. That side is broadcast by Spark if it is small;
     it is the one product here, and its size is that of the records without author.
     """
-    side = blocks.select("ord", "author_key", "title_key", "Year")
+    side = blocks.select("ord", "author_key", "title_key", "Year", "year_ok")
     a, b = side.alias("a"), side.alias("b")
-    fit = (F.col("a.ord") < F.col("b.ord")) & years_fit(F.col("a.Year"), F.col("b.Year"), window)
+    fit = (F.col("a.ord") < F.col("b.ord")) & years_fit(F.col("a.Year"), F.col("b.Year"), window, F.col("a.year_ok") & F.col("b.year_ok"))
     pair = [F.col("a.ord").alias("i"), F.col("b.ord").alias("j")]
     author = a.join(b, (F.col("a.author_key") == F.col("b.author_key")) & fit).select(*pair)
     title = a.where("title_key <> ''").join(b.where("title_key <> ''"), (F.col("a.title_key") == F.col("b.title_key")) & fit).select(*pair)
@@ -96,20 +113,63 @@ def leaders(ords: DataFrame, matches: DataFrame, rounds: int = 200) -> DataFrame
     return ords.select("ord").join(state, "ord", "left").select("ord", F.coalesce("leader", "ord").alias("leader"))
 
 
-def cluster(records: DataFrame, config: DedupConfig = DedupConfig(), blocked: bool = True) -> DataFrame:
-    """(ord, leader). Without blocking all pairs are compared, for small tables such as a corpus's own papers."""
+def cluster(records: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
+    """(ord, leader) among the candidates that blocking gives."""
     blocks = cut(keyed(records))
-    if blocked:
-        pairs = candidates(blocks, config.year_window)
-    else:
-        a, b = blocks.select(F.col("ord").alias("i"), F.col("Year").alias("y")), blocks.select(F.col("ord").alias("j"), F.col("Year").alias("z"))
-        pairs = a.join(b, (F.col("i") < F.col("j")) & years_fit(F.col("y"), F.col("z"), config.year_window)).select("i", "j")
-    return leaders(blocks, score(pairs, blocks, config).where(F.col("score") >= config.threshold))
+    return leaders(blocks, score(candidates(blocks, config.year_window), blocks, config).where(F.col("score") >= config.threshold))
+
+
+def cluster_unblocked(records: DataFrame, config: DedupConfig = DedupConfig(), block: int = 2000) -> DataFrame:
+    """(ord, leader) with every earlier leader a candidate, as for a corpus's own papers. No pairs are made: the first
+    ``block`` undecided records settle among themselves which of them lead, and all others are held against those leaders
+    where they lie; then the next. So a round costs records times new leaders, and the driver holds one block."""
+    texts = ["Title", "Authors", "Journal"]
+    left = cut(keyed(records).select("ord", "Year", "year_ok", *[tx.normalized(F.col(c)).alias(c) for c in texts]))
+    done = None
+    while True:
+        first = left.orderBy("ord").limit(block).toPandas()
+        if not len(first):
+            break
+        rows = list(first.itertuples(index=False))
+        new: list = []
+        for r in rows:
+            if all(not _same(r, lead, config) for lead in new):
+                new.append(r)
+
+        def settle(batches, new=new):
+            for pdf in batches:
+                pdf["leader"] = pd.array([next((int(lead.ord) for lead in new if lead.ord <= r.ord and (lead.ord == r.ord or _same(r, lead, config))), None) for r in pdf.itertuples(index=False)], "Int64")
+                yield pdf
+
+        kinds = "ord long, Year int, year_ok boolean, Title string, Authors string, Journal string, leader long"
+        held = cut(left.withColumns({"ord": F.col("ord").cast("long"), "Year": F.col("Year").cast("int")}).mapInPandas(settle, kinds))
+        some = held.where("leader IS NOT NULL").select("ord", "leader")
+        done = some if done is None else done.unionByName(some)
+        left = held.where("leader IS NULL").drop("leader")
+    return done if done is not None else records.select(F.col("ord").cast("long"), F.col("ord").cast("long").alias("leader")).limit(0)
+
+
+def _same(a, b, config: DedupConfig) -> bool:
+    """Whether two normalised records match; the title's score first, as what it can't reach needs no more."""
+    if not (a.year_ok and b.year_ok):
+        return False
+    y, z = (None if pd.isna(r.Year) or r.Year <= 0 else r.Year for r in (a, b))
+    if y is not None and z is not None and abs(y - z) > config.year_window:
+        return False
+    total, rest = 0.0, 100.0 * (config.title_weight + config.authors_weight + config.journal_weight)
+    for name, weight in (("Title", config.title_weight), ("Authors", config.authors_weight), ("Journal", config.journal_weight)):
+        if weight:
+            total += weight * token_set(getattr(a, name) or "", getattr(b, name) or "")
+            rest -= 100.0 * weight
+            if total + rest < config.threshold - 1e-9:
+                return False
+    return total >= config.threshold
 
 
 def canonical(records: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(references, mapping): the leaders' records with their ids, and (ord, id) for every record. Ids of different
     leaders may coincide (same author, year and title start); cluster_ord tells them apart."""
+    records = complete(records)
     listed = F.col("Authors_List") if "Authors_List" in records.columns else None
     named = records.withColumn("id", tx.record_id("r", F.col("Authors"), F.col("Year"), F.col("Title"), listed))
     lead = clusters.where("ord = leader").select("ord").join(named, "ord")
@@ -122,12 +182,15 @@ def citation_edges(records: DataFrame, mapping: DataFrame) -> DataFrame:
     return records.select("ord", "citing_id").join(mapping, "ord").select("citing_id", F.col("id").alias("cited_id")).distinct()
 
 
-def source_duplicates(papers: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
-    """(kept_source_file, duplicate_source_files) of papers that seem to be the same, in file order."""
-    found = cluster(papers, config, blocked=False)
+def source_duplicates(papers: DataFrame, config: DedupConfig = DedupConfig(), details: bool = False) -> DataFrame:
+    """(kept_source_file, duplicate_source_files) of papers that seem to be the same, in file order; with
+    ``details`` also the kept one's id and title."""
+    found = cluster_unblocked(papers, config)
+    named = {"id": "kept_paper_id", "Title": "title"} if details else {}
     files = papers.select("ord", "source_file")
     dup = found.where("ord <> leader").join(files, "ord").groupBy("leader").agg(F.array_sort(F.collect_list("source_file")).alias("duplicate_source_files"))
-    return dup.join(files.select(F.col("ord").alias("leader"), F.col("source_file").alias("kept_source_file")), "leader").select("kept_source_file", "duplicate_source_files")
+    kept = papers.select(F.col("ord").alias("leader"), F.col("source_file").alias("kept_source_file"), *[F.col(c).alias(n) for c, n in named.items()])
+    return dup.join(kept, "leader").select("kept_source_file", *named.values(), "duplicate_source_files")
 
 
 def first_by_id(papers: DataFrame, order: str = "ord") -> DataFrame:

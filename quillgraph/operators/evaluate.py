@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio, ratio_of
 from ..functions.text import strip
+from ..sources.files import any_file, numbered
+from ..sources.schema import RECORD
+from .authors import surname_set
 
 FUZZY = 90.0
 
@@ -62,6 +65,46 @@ def precision_recall(matches: DataFrame) -> DataFrame:
     return out.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
+GOLD = f"source_file string, metadata struct<{RECORD}>, references array<struct<{RECORD}>>"
+
+
+def evaluate(spark: SparkSession, gold: str, papers: DataFrame, references: DataFrame, raw: DataFrame | None = None) -> dict:
+    """Reports on metadata, references and clusters, from a folder of gold files (a JSON each, and dedup_pairs.json).
+
+    papers has source_file and a record's fields; references source_file, position and Title of what was extracted. A gold
+    paper that is not among papers is skipped, and in the reference report one without extracted references. Pairs of
+    ordinals in dedup_pairs.json are compared by cited_id, where raw has it."""
+    files = spark.read.schema(GOLD).option("multiLine", True).option("pathGlobFilter", "*.json").json(gold).where("source_file IS NOT NULL")
+    both = files.join(papers.select("source_file", F.struct("Title", "Authors_List", "Journal", "Year").alias("found")), "source_file")
+    surnames = lambda c: surname_set(F.coalesce(F.col(c), F.array().cast("array<string>")), F.lit(""))
+    sides = {f"{side}_{f}": F.col(f"{c}.{f}") for side, c in (("gold", "metadata"), ("pred", "found")) for f in ("Title", "Journal", "Year")}
+    pairs = both.withColumns({**sides, "gold_Surnames": surnames("metadata.Authors_List"), "pred_Surnames": surnames("found.Authors_List")})
+    had = both.join(references.select("source_file").distinct(), "source_file", "left_semi").select("source_file", "references")
+    wanted = had.select(F.col("source_file").alias("paper_id"), F.lit("gold").alias("side"), F.posexplode("references").alias("ord", "r")).select("paper_id", "side", F.col("ord").cast("long").alias("ord"), "r.Title")
+    got = references.join(had.select("source_file"), "source_file", "left_semi").select(F.col("source_file").alias("paper_id"), F.lit("pred").alias("side"), F.col("position").cast("long").alias("ord"), "Title")
+    report = {"metadata": metadata_report(pairs).first().asDict(), "references": precision_recall(reference_matches(wanted.unionByName(got))).first().asDict(), "dedup": None}
+    if any_file(spark, gold, "dedup_pairs.json") and raw is not None:
+        if "cited_id" not in raw.columns:
+            report["dedup"] = {"note": "pairs are not compared: raw references have no cited_id"}
+        else:
+            ij = spark.read.schema("value string").text(f"{gold.rstrip('/')}/dedup_pairs.json", wholetext=True).select(F.explode(F.from_json("value", "array<array<long>>")).alias("p")).select(F.col("p")[0].alias("i"), F.col("p")[1].alias("j"))
+            total = ij.count()
+            share = dedup_share(ij, numbered(raw, "source_file", "position").select("ord", F.col("cited_id").alias("leader"))).first()
+            report["dedup"] = {"n_pairs": total, "n_correct": round(share["share"] * total), "accuracy": share["share"]}
+    return report
+
+
+def report_text(report: dict) -> str:
+    """The report as markdown."""
+    m, r, d = report["metadata"], report["references"], report.get("dedup")
+    shares = [("Title, exact", "title_exact"), (f"Title, at least {FUZZY:.0f} alike", "title_fuzzy"), ("Year", "year_exact"), (f"Journal, at least {FUZZY:.0f} alike", "journal_fuzzy")]
+    lines = ["# Evaluation", "", f"## Metadata of {m['n']} papers", "", *(f"- {name}: {m[key]:.1%}" for name, key in shares), f"- Authors, mean Jaccard of surnames: {m['author_jaccard']:.2f}"]
+    lines += ["", "## References", "", f"- Right {r['tp']}, wrong {r['fp']}, missed {r['fn']}", *(f"- {k.capitalize()}: {r[k]:.1%}" for k in ("precision", "recall", "f1"))]
+    if d:
+        lines += ["", "## Clusters", "", f"- {d['note']}" if "note" in d else f"- {d['n_correct']} of {d['n_pairs']} pairs together ({d['accuracy']:.1%})"]
+    return "\n".join(lines) + "\n"
+
+
 def dedup_share(gold_pairs: DataFrame, mapping: DataFrame) -> DataFrame:
     """Share of gold pairs (i, j) of ordinals that are in one cluster of mapping (ord, leader)."""
     a, b = (mapping.select(F.col("ord").alias(k), F.col("leader").alias(f"{k}_leader")) for k in ("i", "j"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import unaccented
 from ..sources import schema
-from ..sources.files import Layout, read_table
+from ..sources.files import Layout, exists, read_table
 
 
 @dataclass(frozen=True)
@@ -23,16 +23,19 @@ class Graph:
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Graph:
         """From an output folder; the author tables may be absent, any other absence is an error that names all of them."""
-        import os
-
         at = Layout(folder)
-        absent = [at.at(n) for n in ("papers", "canonical", "graph") if not os.path.exists(at.at(n))]
+        absent = [at.at(n) for n in ("papers", "canonical", "graph") if not exists(spark, at.at(n))]
         if absent:
             raise FileNotFoundError(f"not found: {', '.join(absent)}")
         get = lambda n, kind: read_table(spark, at.at(n), kind)
-        more = os.path.exists(at.at("authors")) and os.path.exists(at.at("author_citations"))
+        more = exists(spark, at.at("authors")) and exists(spark, at.at("author_citations"))
         return cls(get("papers", schema.PAPERS), get("canonical", schema.REFERENCES), get("graph", schema.EDGES), get("authors", schema.AUTHORS) if more else None, get("author_citations", schema.AUTHOR_CITATIONS) if more else None)
 
+    @classmethod
+    def of(cls, result) -> Graph:
+        """From what a pipeline's run returned."""
+        return cls(result.papers, result.references, result.graph, result.authors, result.author_citations)
+
     def __repr__(self) -> str:
         c = self.counts().first()
         return f"Graph({c['n_papers']} papers, {c['n_references']} references, {c['n_edges']} edges)"
@@ -82,11 +85,19 @@ class Graph:
 
     def citation_context(self, author_id: str) -> DataFrame:
         """Each citation of the author's works, with both sides' fields."""
+        return self._context(author_id).orderBy("citing_id", "cited_id", "position")
+
+    def _context(self, author_id: str) -> DataFrame:
         mine = self._of(author_id).select(F.col("record_id").alias("cited_id"), "author_id", "position", "raw_author")
         column = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
         side = lambda df, key, p: df.select(F.col("id").alias(key), *[column(df, c).alias(f"{p}_{c.lower()}") for c in ("Title", "Journal", "Year")])
         joined = self.edges.join(mine, "cited_id").join(side(self.papers, "citing_id", "citing"), "citing_id", "left").join(side(self.references, "cited_id", "cited"), "cited_id", "left")
-        return joined.select("author_id", "citing_id", "citing_title", "citing_journal", "citing_year", "cited_id", "cited_title", "cited_journal", "cited_year", "position", "raw_author").orderBy("citing_id", "cited_id", "position")
+        if "display_name" in self.authors.columns:
+            name = self.authors.where(F.col("id") == author_id).select(F.col("id").alias("author_id"), F.col("display_name").alias("author_display_name"))
+            joined = joined.join(name, "author_id", "left")
+        else:
+            joined = joined.withColumn("author_display_name", F.lit(""))
+        return joined.select("author_id", F.coalesce("author_display_name", F.lit("")).alias("author_display_name"), "citing_id", "citing_title", "citing_journal", "citing_year", "cited_id", "cited_title", "cited_journal", "cited_year", "position", "raw_author")
 
     def citations_of(self, author_id: str) -> DataFrame:
         """The author's works with the ids of the papers that cite them."""
@@ -100,13 +111,13 @@ class Graph:
 
     def citing_papers_by_author(self, author_id: str) -> DataFrame:
         """A row a citing paper: which of the author's works it cites."""
-        rows = self.citation_context(author_id)
+        rows = self._context(author_id)
         titles = F.transform(F.array_sort(F.collect_list(F.struct("cited_id", "position", "cited_title"))), lambda s: s["cited_title"])
         out = rows.groupBy(F.col("citing_id").alias("paper_id"), F.col("citing_title").alias("Title"), F.col("citing_journal").alias("Journal"), F.col("citing_year").alias("Year")).agg(F.countDistinct("cited_id").alias("n_references"), F.array_sort(F.collect_set("cited_id")).alias("cited_ids"), F.array_distinct(F.filter(titles, lambda t: t.isNotNull())).alias("cited_titles"))
         return out.orderBy(F.desc("n_references"), "paper_id")
 
     def source_journals_citing_author(self, author_id: str) -> DataFrame:
-        rows = self.citation_context(author_id).select("citing_id", "citing_journal").distinct()
+        rows = self._context(author_id).select("citing_id", "citing_journal").distinct()
         n = rows.groupBy(F.coalesce(F.nullif("citing_journal", F.lit("")), F.lit("(unknown)")).alias("journal")).agg(F.count("*").alias("n_papers"))
         return n.withColumn("share", F.col("n_papers") / F.sum("n_papers").over(Window.partitionBy())).orderBy(F.desc("n_papers"), "journal")
 

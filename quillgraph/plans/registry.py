@@ -11,6 +11,7 @@ from ..operators import authors as au
 from ..operators import dedup as dd
 from ..operators import enrich as en
 from ..operators import evaluate as ev
+from ..operators import terms
 from ..operators.graph import Graph, joined
 from ..sources import adapters as ad
 from ..sources import files
@@ -82,7 +83,7 @@ def find_author(spark: SparkSession, d: str) -> DataFrame:
     return _graph(spark, d).find_author("ÉR#000").select("id", "display_name")
 
 
-_CONTEXT = "SELECT a.author_id, e.citing_id, p.Title AS citing_title, p.Journal AS citing_journal, p.Year AS citing_year, e.cited_id, r.Title AS cited_title, r.Journal AS cited_journal, r.Year AS cited_year, a.position, a.raw_author FROM edges e JOIN ac a ON a.record_id = e.cited_id AND a.author_id = 'a-7' LEFT JOIN papers p ON p.id = e.citing_id LEFT JOIN refs r ON r.id = e.cited_id"
+_CONTEXT = "SELECT a.author_id, coalesce(n.display_name, '') AS author_display_name, e.citing_id, p.Title AS citing_title, p.Journal AS citing_journal, p.Year AS citing_year, e.cited_id, r.Title AS cited_title, r.Journal AS cited_journal, r.Year AS cited_year, a.position, a.raw_author FROM edges e JOIN ac a ON a.record_id = e.cited_id AND a.author_id = 'a-7' LEFT JOIN papers p ON p.id = e.citing_id LEFT JOIN refs r ON r.id = e.cited_id LEFT JOIN names n ON n.id = a.author_id"
 
 
 @query(_CONTEXT)
@@ -237,9 +238,7 @@ def stem_collisions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT lang, term, sum(len(regexp_extract_all(lower(text), '(?:^|[^a-z])' || term))) AS n FROM documents, (VALUES ('the'), ('and'), ('die'), ('les')) v(term) GROUP BY ALL".replace("sum(len(", "CAST(sum(len(").replace("term)))", "term))) AS BIGINT)"))
 def term_counts(spark: SparkSession, d: str) -> DataFrame:
-    terms = F.array(*[F.lit(t) for t in ("the", "and", "die", "les")])
-    each = ad.table(spark, d, "documents").select("lang", F.lower("text").alias("t"), F.explode(terms).alias("term"))
-    return each.groupBy("lang", "term").agg(F.sum(F.expr("regexp_count(t, concat('(?:^|[^a-z])', term))")).cast("long").alias("n"))
+    return terms.term_counts(ad.table(spark, d, "documents"), {"": ["the", "and", "die", "les"]})
 
 
 # Deduplication
@@ -259,15 +258,14 @@ def fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH RECURSIVE pr AS (SELECT x.n_name AS a, y.n_name AS b FROM nation x, nation y WHERE x.n_nationkey < y.n_nationkey),"
-    " dp(a, b, i, v) AS (SELECT a, b, 0, list_transform(range(0, length(b) + 1), lambda z: 0) FROM pr"
-    " UNION ALL SELECT a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, CASE WHEN a[i + 1] = b[j] THEN v[j] + 1 ELSE greatest(v[j + 1], acc[len(acc)]) END), CAST([0] AS INTEGER[])) FROM dp WHERE i < length(a))"
-    " SELECT a, b, round(200.0 * v[len(v)] / (length(a) + length(b)), 6) AS score FROM dp WHERE i = length(a)".replace("range(1, length(b) + 1), lambda", "list_transform(range(1, length(b) + 1), lambda q: CAST(q AS INTEGER)), lambda")
+    "WITH RECURSIVE pr AS (SELECT p_partkey AS id, p_name AS a, p_type AS b FROM part),"
+    " dp(id, a, b, i, v) AS (SELECT id, a, b, 0, list_transform(range(0, length(b) + 1), lambda z: 0) FROM pr"
+    " UNION ALL SELECT id, a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, CASE WHEN a[i + 1] = b[j] THEN v[j] + 1 ELSE greatest(v[j + 1], acc[len(acc)]) END), CAST([0] AS INTEGER[])) FROM dp WHERE i < length(a))"
+    " SELECT id, a, b, round(200.0 * v[len(v)] / (length(a) + length(b)), 6) AS score FROM dp WHERE i = length(a)".replace("range(1, length(b) + 1), lambda", "list_transform(range(1, length(b) + 1), lambda q: CAST(q AS INTEGER)), lambda")
 )
 def ratio_pairs(spark: SparkSession, d: str) -> DataFrame:
-    n = ad.table(spark, d, "nation")
-    x, y = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("a")), n.select(F.col("n_nationkey").alias("m"), F.col("n_name").alias("b"))
-    return x.join(y, F.col("k") < F.col("m")).select("a", "b", F.round(similarity.ratio_of("a", "b"), 6).alias("score"))
+    pairs = ad.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("a"), F.col("p_type").alias("b"))
+    return pairs.select("id", "a", "b", F.round(similarity.ratio_of("a", "b"), 6).alias("score"))
 
 
 @query()
@@ -289,8 +287,8 @@ def dedup_references(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def source_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    nations = ad.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("Title"), F.lit("A, B.").alias("Authors"), F.lit("J").alias("Journal"), F.lit(2000).alias("Year"), F.concat("n_name", F.lit(".md")).alias("source_file"))
-    return dd.source_duplicates(nations).withColumn("duplicate_source_files", joined(F.col("duplicate_source_files")))
+    papers = ad.papers(spark, d).withColumns({"ord": F.substring("id", 3, 20).cast("long"), "Authors": F.col("Title"), "source_file": F.concat("id", F.lit(".md"))})
+    return dd.source_duplicates(papers).withColumn("duplicate_source_files", joined(F.col("duplicate_source_files")))
 
 
 @query("SELECT id, ord FROM (SELECT Journal || '-' || Year AS id, ord, row_number() OVER (PARTITION BY Journal || '-' || Year ORDER BY ord) AS n FROM raw_refs) WHERE n = 1")

@@ -24,6 +24,32 @@ from pyspark.sql import types as T
 CSV = {"header": True, "multiLine": True, "escape": '"'}
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    fs, p = _path(spark, path)
+    return bool(fs.exists(p))
+
+
+def any_file(spark: SparkSession, folder: str, suffix: str) -> bool:
+    fs, p = _path(spark, folder)
+    return bool(fs.exists(p)) and any(f.getPath().getName().endswith(suffix) for f in fs.listStatus(p))
+
+
+def count_listed(spark: SparkSession, path: str, inside: str | None = None) -> int:
+    """Entries of a report, 0 where there is none; with ``inside`` those of the lists under that name."""
+    if not exists(spark, path):
+        return 0
+    rows = spark.read.option("multiLine", path.endswith(".json")).json(path)
+    if inside is None:
+        return rows.count()
+    return rows.agg(F.coalesce(F.sum(F.size(inside)), F.lit(0))).first()[0] if inside in rows.columns else 0
+
+
 class StageNotReady(FileNotFoundError):
     """An earlier stage has not written what this one reads."""
 
@@ -57,7 +83,7 @@ class Layout:
     root: str
 
     def at(self, name: str) -> str:
-        places = {"markdown": "markdown", "metadata": "metadata", "references": "references", "reports": "reports", "papers": "papers.parquet", "raw": "references_raw.parquet", "canonical": "references.parquet", "graph": "citation_graph.parquet", "enriched": "enriched_references.parquet", "authors": "authors.parquet", "author_citations": "author_citations.parquet", "aliases": "author_aliases.csv", "review": "author_review.json", "metadata_failures": "metadata_failures.jsonl", "reference_failures": "reference_failures.jsonl", "manifest": "manifest.json", "summary": "run_summary.json"}
+        places = {"markdown": "markdown", "metadata": "metadata", "references": "references", "reports": "reports", "papers": "papers.parquet", "raw": "references_raw.parquet", "canonical": "references.parquet", "graph": "citation_graph.parquet", "enriched": "enriched_references.parquet", "authors": "authors.parquet", "author_citations": "author_citations.parquet", "aliases": "author_aliases.csv", "review": "author_review.json", "enrichment_cache": "enrichment_cache.parquet", "enrichment_misses": "enrichment_misses.csv", "enrichment_summary": "enrichment_summary.json", "conversion_warnings": "conversion_warnings.jsonl", "undercounts": "reference_undercounts.jsonl", "source_duplicates": "reports/source_duplicates.json", "no_references": "reports/papers_without_references.json", "conversion_failures": "conversion_failures.jsonl", "metadata_failures": "metadata_failures.jsonl", "reference_failures": "reference_failures.jsonl", "manifest": "manifest.json", "summary": "run_summary.json"}
         return f"{self.root.rstrip('/')}/{places[name]}"
 
     def ensure(self) -> Layout:
@@ -89,10 +115,10 @@ def stem_collisions(files: DataFrame) -> DataFrame:
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(source_file, content), a row a file."""
-    if not any(Path(folder).glob("*.md")):
+    if not any_file(spark, folder, ".md"):
         raise StageNotReady(f"no markdown in {folder}")
     docs = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
-    return docs.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("content")).orderBy("source_file")
+    return docs.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("content"))
 
 
 def convert_directory(spark: SparkSession, folder: str, out: str, converter, ocr: bool | str = False, recursive: bool = False, overwrite: bool = False) -> DataFrame:
@@ -147,13 +173,21 @@ def write_markdown(converted: DataFrame, out: str) -> int:
 
 def read_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A Parquet or CSV table of a known schema. Lists in CSV are JSON or literal text."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         raise StageNotReady(path)
     if not path.endswith(".csv"):
         return spark.read.schema(kind).parquet(path)
     fields = spark.createDataFrame([], kind).schema.fields
-    flat = ", ".join(f"{f.name} {'string' if f.dataType.typeName() == 'array' else f.dataType.simpleString()}" for f in fields)
-    raw = spark.read.options(**CSV).schema(flat).csv(path)
+    # Columns go by the header's names; what the file lacks is null. A year is read as text, for it may not be one.
+    found = spark.read.options(**CSV).csv(path)
+    raw = found.select(*[(F.col(f"`{f.name}`") if f.name in found.columns else F.lit(None).cast("string")).alias(f.name) for f in fields])
+    if "Year" in raw.columns and "year_ok" in raw.columns:
+        from ..operators.dedup import readable_year
+
+        raw = raw.withColumn("year_ok", readable_year(F.col("Year"))[1])
+    if "position" in raw.columns:
+        raw = raw.withColumn("position", F.coalesce(F.col("position").try_cast("long"), F.monotonically_increasing_id()))
+    raw = raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) if f.dataType.typeName() not in ("array", "string") else F.col(f.name) for f in fields])
     for f in fields:
         if f.name == "Authors_List":
             raw = raw.withColumn(f.name, parse_list(F.col(f.name)))
@@ -195,7 +229,7 @@ def parse_list(cell: Column) -> Column:
 
 def read_json_cache(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """A row a cached record, with the file's stem."""
-    if not any(Path(folder).glob("*.json")):
+    if not any_file(spark, folder, ".json"):
         return spark.createDataFrame([], f"{kind}, stem string")
     raw = spark.read.schema(kind).option("multiLine", True).json(folder)
     return raw.withColumn("stem", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 RECORD = "Title string, Authors_List array<string>, Journal string, Year int"
 PAPERS = f"{RECORD}, Authors string, source_file string, id string"
 RAW_REFERENCES = f"{RECORD}, Authors string, citing_id string"
+RAW_PLACED = f"{RAW_REFERENCES}, source_file string, position long, year_ok boolean"  # with their places, and whether the year can be read
 REFERENCES = f"id string, Authors string, {RECORD}"
 EDGES = "citing_id string, cited_id string"
 OPENALEX = "array<struct<display_name:string,openalex_id:string,orcid:string>>"

@@ -56,7 +56,7 @@ def test_fallback_misses_and_fields(spark):
     first = crossref(spark, ("r-1", 0, "Trust in games", 2000, "10.1/a", "New"), ("r-2", 0, "Something else", 2001, "10.1/b", "New"))
     out = en.enriched(table, first, openalex(spark, ("r-2", 0, "Giving", 2001, "10.1/c"), ("r-3", 0, "No relation at all", 2002, "10.1/d")))
     got = {r.id: r for r in out.collect()}
-    assert [(got[k].enrichment_status, got[k].enrichment_source, got[k].doi, got[k].Journal) for k in sorted(got)] == [("matched", "crossref", "10.1/a", "New"), ("matched", "openalex", "10.1/c", "Old"), ("unmatched", None, None, "Old"), ("unmatched", None, None, "Old")]
+    assert [(got[k].enrichment_status, got[k].enrichment_source, got[k].doi, got[k].Journal) for k in sorted(got)] == [("matched", "crossref", "10.1/a", "New"), ("matched", "openalex", "10.1/c", "Old"), ("miss", None, None, "Old"), ("miss", None, None, "Old")]
     assert [tuple(a) for a in got["r-2"].OpenAlex_Authors] == [("Ann Lee", "A9", "0-1")]
     assert got["r-3"].enrichment_miss_reason == "below_title_threshold" and got["r-4"].enrichment_miss_reason == "empty_title"
     assert sorted((r.source, r.n, r.rate) for r in en.by_source(out).collect()) == [("crossref", 1, 0.25), ("miss", 2, 0.5), ("openalex", 1, 0.25)]
@@ -95,3 +95,47 @@ def test_dedup_share(spark):
 def test_bare_ids(spark):
     rows = [("https://doi.org/10.1/x",), ("http://dx.doi.org/10.1/x",), ("10.1/x",)]
     assert {r.i for r in spark.createDataFrame(rows, "l string").select(en.bare_id(F.col("l")).alias("i")).collect()} == {"10.1/x"}
+
+
+def test_every_field_of_a_match_replaces_the_reference(spark):
+    table = spark.createDataFrame([("r-1", "trust in game", ["Old, A."], "Old, A.", "Old", 1999), ("r-2", "Nobody", ["Old, A."], "Old, A.", "Old", 1999)], "id string, Title string, Authors_List array<string>, Authors string, Journal string, Year int")
+    got = {r.id: r for r in en.enriched(table, crossref(spark, ("r-1", 0, "Trust in games", 2000, "10.1/a", "New")), openalex(spark, ("x", 0, "y", 1, "d")), en.EnrichConfig(year_penalty=0)).collect()}
+    assert (got["r-1"].Title, got["r-1"].Authors_List, got["r-1"].Authors, got["r-1"].Journal, got["r-1"].Year) == ("Trust in games", ["Ann Lee"], "Ann Lee", "New", 2000)
+    assert (got["r-2"].Title, got["r-2"].Authors, got["r-2"].Year) == ("Nobody", "Old, A.", 1999)
+
+
+def test_old_caches_get_diagnostics(spark):
+    old = spark.createDataFrame([("a", "10.1/a", None), ("b", None, None)], "id string, doi string, enrichment_source string")
+    got = {r.id: (r.enrichment_status, r.enrichment_miss_reason, r.enrichment_title_score) for r in en.backfilled(old).collect()}
+    assert got == {"a": ("matched", None, None), "b": ("miss", "cached_miss", None)}
+    assert en.backfilled(en.backfilled(old)).count() == 2
+
+
+def _ask(title, year, rows):
+    if title == "Down":
+        raise TimeoutError("no answer")
+    return [json.dumps({"title": [title], "issued": {"date-parts": [[year]]}, "DOI": "10.1/q"})][:rows]
+
+
+def test_requests_are_retried_and_errors_are_rows(spark):
+    table = refs(spark, ("r-1", "Trust", "J", 2000), ("r-2", "Down", "J", 0), ("r-3", " ", "J", 2000))
+    got = sorted(map(tuple, en.requested(table, _ask, en.EnrichConfig(retries=1, wait=0.0)).collect()), key=repr)
+    assert [(r[0], r[1], r[3]) for r in got] == [("r-1", 0, None), ("r-2", None, "TimeoutError: no answer")]
+
+
+def test_evaluation_of_a_folder(spark, tmp_path):
+    gold = tmp_path / "gold"
+    gold.mkdir()
+    record = lambda t: {"Title": t, "Authors_List": ["Lee, Ann"], "Journal": "J", "Year": 2000}
+    for name, titles in (("a", ["One work", "Other work"]), ("b", ["Third work"]), ("gone", ["Lost"])):
+        (gold / f"{name}.json").write_text(json.dumps({"source_file": f"{name}.md", "metadata": record(name), "references": [record(t) for t in titles]}))
+    (gold / "dedup_pairs.json").write_text("[[0, 1], [1, 2]]")
+    papers = spark.createDataFrame([("a.md", "a", ["Lee, A."], "J", 2000), ("b.md", "b", ["Kim, B."], "J", 1999)], "source_file string, Title string, Authors_List array<string>, Journal string, Year int")
+    found = spark.createDataFrame([("a.md", 0, "One work"), ("a.md", 1, "Nothing like it")], "source_file string, position long, Title string")
+    raw = spark.createDataFrame([("a.md", 0, "c1"), ("a.md", 1, "c1"), ("b.md", 0, "c2")], "source_file string, position long, cited_id string")
+    r = ev.evaluate(spark, str(gold), papers, found, raw)
+    assert (r["metadata"]["n"], r["metadata"]["title_exact"], r["metadata"]["year_exact"], r["metadata"]["author_jaccard"]) == (2, 1.0, 0.5, 0.5)
+    assert (r["references"]["tp"], r["references"]["fp"], r["references"]["fn"]) == (1, 1, 1)  # b has no extracted references
+    assert r["dedup"] == {"n_pairs": 2, "n_correct": 1, "accuracy": 0.5}
+    assert "Precision: 50.0%" in ev.report_text(r) and "1 of 2 pairs" in ev.report_text(r)
+    assert "note" in ev.evaluate(spark, str(gold), papers, found, raw.drop("cited_id"))["dedup"]

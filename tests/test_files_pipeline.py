@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from quillgraph import cli
 from quillgraph.operators.graph import Graph
-from quillgraph.plans.pipeline import Config, Pipeline, estimate, estimate_totals, summary_text
+from quillgraph.plans.pipeline import Config, Pipeline, Truncated, estimate, estimate_totals, extract, summary_text
 from quillgraph.sources import files, schema
 from quillgraph.streaming import ingest
 
@@ -183,3 +183,84 @@ def test_stream_ingest(spark, tmp_path):
     assert Path(tmp_path / "cp").exists()
     counts = ingest.citation_counts(spark.read.parquet(str(source)))
     assert {r.Title: r.n_citations for r in counts.collect()}["T"] == 2
+
+
+def _cut_off(text, max_tokens):
+    n = len(text.split())
+    if n * 1000 > max_tokens:
+        raise Truncated([{"Title": t, "Year": 2000} for t in text.split()[: max_tokens // 1000]])
+    return [{"Title": t, "Year": 2000} for t in text.split()]
+
+
+def test_answers_that_are_cut_off_are_asked_for_once_more(spark):
+    docs = spark.createDataFrame([(f"{n}.md", " ".join(f"w{k}" for k in range(n))) for n in (3, 30, 50)] + [("x.md", "one")], "source_file string, content string")
+    rows = extract(docs, _cut_off, concurrency=3).collect()
+    n = {k: [r for r in rows if r.source_file == f"{k}.md"] for k in (3, 30, 50)}
+    assert {k: (len(v), {r.truncated for r in v}) for k, v in n.items()} == {3: (3, {False}), 30: (30, {False}), 50: (40, {True})}
+    assert [r.Title for r in sorted(n[30], key=lambda r: r.position)] == [f"w{k}" for k in range(30)]
+
+
+def _enough(text):
+    cited = text.split("## References")[0] if "## References" in text else text
+    return [{"Title": t, "Authors_List": ["Lee, A."], "Journal": "J", "Year": "19x9" if t == "odd" else 1990} for t in text.split() if t.startswith("t")] if cited is not None else []
+
+
+def test_run_with_everything(spark, tmp_path):
+    """Conversion, undercounts, order of files, enrichment with its cache and sidecars, the summary, and estimates after it."""
+    from pyspark.sql import Row
+
+    from quillgraph.operators import enrich as en
+
+    pdfs, out = tmp_path / "pdfs", tmp_path / "out"
+    put(pdfs, a__dot__pdf="x", b__dot__pdf="x", scan__dot__pdf="x")
+
+    def convert(path, ocr):
+        if "scan" in path:
+            return "<!-- image -->"
+        name = Path(path).stem
+        return f"Paper {name}\n" + "text " * 60 + "".join(f" [{k}]" for k in range(1, 21)) + "\n## References\n" + ("Trust at work|Kim, Bo|2001" if name == "a" else "Trust at Work.|Kim, B.|2001")
+
+    catalogue = en.crossref(spark.createDataFrame([Row(ref_id="r-kim-2001-trust-at-work", pos=0, raw=json.dumps({"title": ["Trust at work"], "issued": {"date-parts": [[2001]]}, "DOI": "10.1/t", "container-title": ["Found"]}))]))
+    nothing = en.openalex(spark.createDataFrame([], "ref_id string, pos int, raw string"))
+    line = Pipeline(spark, str(out), metadata=_metadata, references=_references)
+    before = estimate_totals(line.estimate()).first() if (out / "markdown/a.md").exists() else None
+    r = line.run(pdfs=str(pdfs), converter=convert, catalogues=(catalogue, nothing))
+    assert before is None and [(x.id, x.doi, x.Journal, x.Title) for x in r.references.collect()] == [("r-kim-2001-trust-at-work", "10.1/t", "Found", "Trust at work")]
+    s = json.loads((out / "run_summary.json").read_text())
+    names = "n_papers n_references_raw n_references_dedup n_edges n_authors n_author_citations n_author_review_flags n_metadata_failures n_references_failures n_source_duplicates n_papers_no_references n_conversion_warnings model enrich dedup_config author_config"
+    assert set(names.split()) <= set(s)
+    assert [s[k] for k in ("n_papers", "n_references_raw", "n_references_dedup", "n_edges", "n_metadata_failures", "n_conversion_warnings", "n_papers_no_references", "enrich")] == [3, 2, 1, 2, 0, 1, 1, True]
+    assert json.loads((out / "enrichment_summary.json").read_text())["match_rate"] == 1.0
+    low = [json.loads(x) for p in (out / "reference_undercounts.jsonl").glob("*.json") for x in p.read_text().splitlines()]
+    assert sorted((x["source_file"], x["estimate"], x["extracted"]) for x in low) == [("a.md", 20, 1), ("b.md", 20, 1)]
+    t = estimate_totals(line.estimate()).first()
+    # What is cached costs nothing; the scan has no cached reference, so its references would be asked for again.
+    assert (t.n_metadata, t.n_references, t.estimated_references) == (0, 1, 1)
+    assert Graph.of(r).counts().first().n_edges == 2
+    again = line.enrich(en.crossref(spark.createDataFrame([], "ref_id string, pos int, raw string")), nothing)  # the cache answers
+    assert [x.doi for x in again.collect()] == ["10.1/t"]
+    line.evaluate(str(out / "markdown"))
+
+
+def test_unreadable_years_fail(spark, tmp_path):
+    """In an extracted record it is the paper's failure; in a table of raw references it fits no other year."""
+    docs = spark.createDataFrame([("a.md", "todd odd"), ("b.md", "tx ty")], "source_file string, content string")
+    bad = lambda text: [{"Title": t, "Year": "n.d." if t == "odd" else "1990"} for t in text.split()]
+    rows = extract(docs, bad).collect()
+    assert sorted((r.source_file, r.error_class) for r in rows) == [("a.md", "ValueError"), ("b.md", None), ("b.md", None)]
+    head = "Title,Authors,Year,citing_id\n"
+    for years, n in ((("1990", "abc"), 2), (("1990", ""), 1), (("abc", "abc"), 2), (("1990", "0"), 1)):
+        at = tmp_path / "-".join(years)
+        at.mkdir()
+        (at / "raw.csv").write_text(head + f'A work of trust,"Lee, A.",{years[0]},p-1\nA work of trust,"Lee, A.",{years[1]},p-2\n')
+        assert cli.main(["dedup", str(at / "out"), "--raw", str(at / "raw.csv"), "--threshold", "80"]) == 0
+        assert spark.read.parquet(str(at / "out/references.parquet")).count() == n
+
+
+def test_the_first_of_a_file_leads(spark, tmp_path):
+    """Clusters follow the order of files and of records in them, not that of their content."""
+    rows = [("Trust at work", ["Kim, Bo"], "J", 2001, "Kim, Bo", "p-z", "a.md", 1, True), ("TRUST AT WORK", ["Kim, Bo"], "J", 2002, "Kim, Bo", "p-a", "b.md", 0, True), ("Trust at work", ["Kim, Bo"], "J", 2000, "Kim, Bo", "p-z", "a.md", 0, True)]
+    line = Pipeline(spark, str(tmp_path))
+    files.write_table(spark.createDataFrame(rows, schema.RAW_PLACED).repartition(3), line.at.at("raw"))
+    # 2000 leads: 2001 is within a year of it, 2002 is not and leads its own. By content 2001 or 2002 would have come first.
+    assert sorted(r.Year for r in line.deduplicate()[0].collect()) == [2000, 2002]

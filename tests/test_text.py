@@ -117,3 +117,20 @@ def test_not_a_name(raw):
 )
 def test_split_joined(joined, parts):
     assert names.split_joined(joined) == parts
+
+
+def test_terms_and_any_author(spark):
+    from quillgraph.operators import terms
+
+    docs = spark.createDataFrame([("The theme and the sea", "en"), ("Die Dinge", "de"), (None, "en")], "text string, lang string")
+    got = {(r.lang, r.term): r.n for r in terms.term_counts(docs, {"": ["the"], "de": ["di"]}).collect()}
+    assert got == {("en", "the"): 3, ("de", "the"): 0, ("de", "di"): 2}
+    assert terms.term_counts(docs, {}).collect() == []
+    rows = spark.createDataFrame([("Ostrom,  ELINOR",), ("Hardin, G.",), (None,)], "a string")
+    assert [r.h for r in rows.select(terms.has_any_author(F.col("a"), ["ostrom, elinor", " ", "putnam"]).alias("h")).collect()] == [True, False, False]
+
+
+def test_public_names():
+    import quillgraph
+
+    assert all(getattr(quillgraph, n) is not None for n in quillgraph.__all__) and "Pipeline" in quillgraph.__all__
