@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
 
 from ..functions import names
@@ -64,7 +66,7 @@ def occurrences(records: DataFrame, kind: str) -> DataFrame:
                     elif known:
                         match = next((x for x in known if x and (c := names.parse(x["display_name"])) and c.surname_norm == n.surname_norm), {})
                     others = sorted({m.surname_norm for j, (_, m) in enumerate(found) if j != at})
-                    rows.append((ord_ * 10_000 + k, kind, rid, k, citing, n.raw, n.surname, n.surname_norm, n.given, n.initials, n.full_first, n.first_norm, others, match.get("openalex_id"), match.get("orcid")))
+                    rows.append(((ord_ << 17) + k, kind, rid, k, citing, n.raw, n.surname, n.surname_norm, n.given, n.initials, n.full_first, n.first_norm, others, match.get("openalex_id"), match.get("orcid")))
             yield pd.DataFrame(rows, columns=_FIELDS)
 
     return take.mapInPandas(each, _OCCURRENCE)
@@ -122,17 +124,35 @@ def clustered(occ: DataFrame, mode: str = "strict") -> DataFrame:
     if mode != "strict":
         raise ValueError(f"unknown merge mode {mode!r}")
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("ord").to_dict("records")
+    def block(rows: list[dict]) -> list[dict]:
         for o in rows:
             o["openalex_id"], o["orcid"] = o["openalex_id"] or None, o["orcid"] or None
         made = []
         for k, cluster in enumerate(strict_block(rows)):
             name = f"{rows[0]['surname_norm']}#{min(o['ord'] for o in cluster)}"
             made += [{**o, "cluster": name, "rank": k + 1, "seat": s} for s, o in enumerate(cluster)]
-        return pd.DataFrame(made)[[*_FIELDS, "rank", "cluster", "seat"]]
-
-    return occ.groupBy("surname_norm").applyInPandas(block, f"{_OCCURRENCE}, rank int, cluster string, seat int")
+        return made
+
+    def blocks(batches):
+        """Surname blocks stand one after another in a partition, so a task holds one of them and some finished rows."""
+        rows: list[dict] = []
+        made: list[dict] = []
+        for batch in batches:
+            for o in batch.to_pylist():
+                if rows and o["surname_norm"] != rows[0]["surname_norm"]:
+                    made += block(rows)
+                    rows = []
+                rows.append(o)
+            if len(made) >= 4000:
+                yield pa.RecordBatch.from_pylist(made, wanted)
+                made = []
+        made += block(rows) if rows else []
+        if made:
+            yield pa.RecordBatch.from_pylist(made, wanted)
+
+    kinds = f"{_OCCURRENCE}, rank int, cluster string, seat int"
+    wanted = to_arrow_schema(occ.sparkSession.createDataFrame([], kinds).schema)
+    return occ.select(*_FIELDS).repartition("surname_norm").sortWithinPartitions("surname_norm", "ord").mapInArrow(blocks, kinds)
 
 
 def authors_table(members: DataFrame, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -218,7 +238,7 @@ def normalize_authors(references: DataFrame, papers: DataFrame | None = None, ed
     order = lambda df: df if "ord" in df.columns else numbered(df, "id")
     occ = occurrences(order(references), "reference")
     if papers is not None:
-        more = occurrences(order(papers), "paper").withColumn("ord", F.col("ord") + F.lit(1 << 50))
+        more = occurrences(order(papers), "paper").withColumn("ord", F.col("ord") + F.lit(1 << 60))
         occ = occ.unionByName(more)
     table, cites = authors_table(cut(clustered(occ, mode)), edges)
     looked = review(table, cites)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,16 +44,34 @@ def reference_matches(titles: DataFrame) -> DataFrame:
     """(paper_id, n_gold, n_pred, tp, fp, fn) of rows (paper_id, side, ord, Title); side is gold or pred. Gold titles in order
     each take the best title left, if it is near enough."""
 
+    def letters(titles: list[str]) -> np.ndarray:
+        """How often each of 64 kinds of letter is in each title."""
+        out = np.zeros((len(titles), 64), np.int32)
+        for k, t in enumerate(titles):
+            np.add.at(out[k], np.frombuffer(t.encode("utf-32-le"), np.uint32) % 64, 1)
+        return out
+
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
-        gold, left = ([str(t or "").strip().lower() for t in pdf.Title[pdf.side == s]] for s in ("gold", "pred"))
-        n, hits = len(left), 0
-        for title in gold:
-            scores = [ratio(title, t) for t in left]
-            best = max(range(len(left)), key=scores.__getitem__, default=None)
-            if best is not None and scores[best] >= FUZZY:
-                left.pop(best)
-                hits += 1
+        gold, found = ([str(t or "").strip().lower() for t in pdf.Title[pdf.side == s]] for s in ("gold", "pred"))
+        n, hits, left = len(found), 0, np.ones(len(found), bool)
+        have, size, exact = letters(found), np.array([len(t) for t in found], float), {}
+        for k in reversed(range(n)):
+            exact.setdefault(found[k], []).append(k)  # the first is the last of its list
+        for title, own in zip(gold, letters(gold), strict=True):
+            same = exact.get(title)
+            if same:  # nothing is nearer than an equal title
+                best = same.pop()
+            else:
+                # A subsequence has no more of a letter than either side; what can't reach the threshold by that is out.
+                bound = np.where(size + len(title) > 0, 200 * np.minimum(have, own).sum(1) / np.maximum(size + len(title), 1), 100)
+                scores = {int(k): ratio(title, found[k]) for k in np.flatnonzero(left & (bound >= FUZZY - 1e-9))}
+                best = max(scores, key=scores.__getitem__, default=None)
+                if best is None or scores[best] < FUZZY:
+                    continue
+                exact[found[best]].remove(best)
+            left[best] = False
+            hits += 1
         return pd.DataFrame([(pdf.paper_id.iloc[0], len(gold), n, hits, n - hits, len(gold) - hits)], columns=["paper_id", "n_gold", "n_pred", "tp", "fp", "fn"])
 
     return titles.groupBy("paper_id").applyInPandas(match, "paper_id string, n_gold int, n_pred int, tp int, fp int, fn int")

@@ -139,3 +139,27 @@ def test_evaluation_of_a_folder(spark, tmp_path):
     assert r["dedup"] == {"n_pairs": 2, "n_correct": 1, "accuracy": 0.5}
     assert "Precision: 50.0%" in ev.report_text(r) and "1 of 2 pairs" in ev.report_text(r)
     assert "note" in ev.evaluate(spark, str(gold), papers, found, raw.drop("cited_id"))["dedup"]
+
+
+def test_greedy_matching_equals_comparing_all(spark):
+    import random
+
+    from quillgraph.functions.similarity import ratio
+
+    r = random.Random(4)
+    base = ["trust in games", "giving and taking", "commons", "rules of the water market", "", "aab", "aba"]
+    twist = lambda t: t if r.random() < 0.4 else "".join(c for c in t if r.random() < 0.95) + r.choice(["", "s", " x"])
+    rows = [(f"p{p}", side, k, twist(r.choice(base))) for p in range(12) for side in ("gold", "pred") for k in range(r.randint(0, 14))]
+    expected = {}
+    for p in {x[0] for x in rows}:
+        gold, left = ([t.strip().lower() for q, s, _, t in rows if q == p and s == side] for side in ("gold", "pred"))
+        n, hits = len(left), 0
+        for title in gold:
+            scores = [ratio(title, t) for t in left]
+            best = max(range(len(left)), key=scores.__getitem__, default=None)
+            if best is not None and scores[best] >= 90:
+                left.pop(best)
+                hits += 1
+        expected[p] = (len(gold), n, hits, n - hits, len(gold) - hits)
+    got = ev.reference_matches(spark.createDataFrame(rows, "paper_id string, side string, ord int, Title string"))
+    assert {x.paper_id: tuple(x)[1:] for x in got.collect()} == expected
