@@ -268,19 +268,33 @@ class _Vector:
         self.ws, self.edges, self.bits, self.halves, self.cuts = ws, edges, bits, halves, cuts
 
     def __call__(self, ids, stats, at, found) -> np.ndarray:
-        x = _csr(stats, at, found, self.edges, self.bits)
-        half = None if self.halves is None else np.repeat(_half(ids), np.diff(x[0]))
+        n, width = len(ids), len(self.ws[0])
+        model = np.zeros(n, np.int64) if self.halves is None else np.array(self.halves)[_half(ids)]  # whose weights a row meets
+        weights = np.concatenate(self.ws)
+        size = np.diff(at)
+        scale = 1 / np.sqrt(np.maximum(size, 1))
+        idx = found.astype(np.int64)
+        if len(self.ws) > 1:
+            idx += np.repeat(model * width, size)
+        bins = (1 << self.bits) + np.arange(stats.shape[1]) * (self.edges.shape[1] + 1) + _binned(stats, self.edges) + (model * width)[:, None]
+        g = weights[bins].sum(1) + weights[model * width + width - 1]
+        some = np.flatnonzero(size)
+        if len(some):
+            g[some] += np.add.reduceat(weights[idx], at[some]) * scale[some]
         out = []
-        for k, w in enumerate(self.ws):
-            own = x
-            if half is not None:
-                mine, keep = _half(ids) == self.halves[k], half == self.halves[k]
-                own = (np.concatenate(([0], np.cumsum(np.diff(x[0])[mine]))), x[1][keep], x[2][keep])
-            if self.cuts is None:
-                out.append(_moments(own, w))
-            else:
-                g = np.sort(_scores(own, w))
-                out.append(np.concatenate(([len(g)], len(g) - np.searchsorted(g, self.cuts[k]))).astype(float))
+        if self.cuts is not None:
+            for k in range(len(self.ws)):
+                own = np.sort(g[model == k])
+                out.append(np.concatenate(([len(own)], len(own) - np.searchsorted(own, self.cuts[k]))).astype(float))
+            return np.concatenate(out)
+        s = _sigmoid(g)
+        each = s * (1 - s)
+        total = np.bincount(idx, np.repeat(each * scale, size), minlength=len(weights)) + np.bincount(bins.ravel(), np.repeat(each, stats.shape[1]), minlength=len(weights))
+        for k in range(len(self.ws)):
+            mine = model == k
+            own = total[k * width : (k + 1) * width]
+            own[-1] += each[mine].sum()
+            out += [[float(mine.sum()), s[mine].sum()], own]
         return np.concatenate(out)
 
 

@@ -141,5 +141,33 @@ def test_a_score_column_of_the_same_name_is_replaced(spark):
     assert pu.accepted(docs, labels, pu.Options(epochs=2)).where("score <> 0.5").count() == 0
 
 
+def test_a_pass_over_the_corpus_sums_what_rows_in_memory_do(spark):
+    """The fast sums over slices against the plain ones, for one model over all rows and for two over their halves."""
+    rows, _, _ = corpus(spark, 120)
+    bits = 8
+    docs = frame(spark, rows + [(None, good(1)), (500, " \n ")])
+    features = pu._features(docs, bits)
+    edges = pu._edges(features, pu.Options())
+    parts = list(pu._opened(features.toArrow().to_batches(), bits))
+    width = (1 << bits) + edges.shape[0] * (edges.shape[1] + 1) + 1
+    r = np.random.default_rng(2)
+    ws = [r.normal(0, 0.1, width) for _ in range(2)]
+    for halves in (None, [0, 1]):
+        models = ws[:1] if halves is None else ws
+        got = pu._summed(features, pu._Vector(models, edges, bits, halves))
+        expected = []
+        for k, w in enumerate(models):
+            total = 0
+            for ids, stats, at, found in parts:
+                for d in range(len(ids)):
+                    if halves is None or pu._half(ids[d : d + 1])[0] == k:
+                        total = total + pu._moments(pu._csr(stats[d : d + 1], np.array([0, at[d + 1] - at[d]]), found[at[d] : at[d + 1]], edges, bits), w)
+            expected.append(total)
+        assert np.allclose(got, np.concatenate(expected)) and sum(e[0] for e in expected) == 122
+    cuts = [np.array([-0.1, 0.0, 0.2]), np.array([0.0])]
+    above = pu._summed(features, pu._Vector(ws, edges, bits, [0, 1], cuts))
+    assert len(above) == 6 and above[0] + above[4] == 122 and above[1] >= above[2] >= above[3]
+
+
 def test_prose_fixture_is_deterministic():
     assert prose(30, 1) == prose(30, 1)
