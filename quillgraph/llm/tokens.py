@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 from .shared import TOKENIZERS
-from .words import SPACE, Slice, bounds, slices, span_hash
+from .words import SPACE, Slice, bounds, eights, only, slices, span_hash
 
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,16 +37,22 @@ def encoding(path: str = VOCABULARY):
 
 
 def _same_bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray, like: np.ndarray) -> bool:
-    """Whether every unit has the bytes of the unit that ``like`` names for it."""
+    """Whether every unit has the bytes of the unit that ``like`` names for it. Eight bytes at a time, long ones whole."""
     if not np.array_equal(size[like], size):
         return False
-    other = np.flatnonzero(like != np.arange(len(like)))
-    n = size[other]
-    lead = np.repeat(start[other] - (np.cumsum(n) - n), n)
-    lead += np.arange(len(lead))
-    here = data[lead]
-    lead += np.repeat(start[like[other]] - start[other], n)
-    return np.array_equal(here, data[lead])
+    rows = np.flatnonzero(like != np.arange(len(like)))
+    a, b, left, chunk = start[rows], start[like[rows]], size[rows], eights(data)
+    for k in np.flatnonzero(left > LONG_UNIT).tolist():
+        if not np.array_equal(data[a[k] : a[k] + left[k]], data[b[k] : b[k] + left[k]]):
+            return False
+    some = np.flatnonzero(left <= LONG_UNIT)
+    a, b, left = a[some], b[some], left[some]
+    while len(a):
+        if only(chunk[a] ^ chunk[b], left).any():
+            return False
+        some = np.flatnonzero(left > 8)
+        a, b, left = a[some] + 8, b[some] + 8, left[some] - 8
+    return True
 
 
 class UnitTokenizer:

@@ -9,7 +9,7 @@ A *word* is a maximal run of bytes other than the six ASCII white-space bytes (9
 
 from __future__ import annotations
 
-import functools
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,8 +18,8 @@ import pyarrow as pa
 
 SLICE_BYTES = 3 << 18
 MAX_ROWS = 1 << 15
-_REACH = 1024
-_BASE, _GRAM = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so invertible modulo 2**64
+_LONG = 512  # bytes; longer spans are hashed one by one
+_GRAM = 0xD6E8FEB86659FD93  # odd, so invertible modulo 2**64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 INK = ~SPACE
@@ -92,39 +92,36 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-@functools.cache
-def _table() -> np.ndarray:
-    """A random 64-bit number for each place in a span, up to ``_REACH``, and each byte."""
-    return mix(np.arange(1, 256 * _REACH + 1, dtype=np.uint64) * np.uint64(_BASE))
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, as one number; zeros follow the end."""
+    return np.ndarray((len(data) + 1,), "<u8", buffer=np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def only(value: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """value without the bytes from the left-th on, where fewer than eight are left."""
+    short = np.flatnonzero(left < 8)
+    value[short] &= (np.uint64(1) << (left[short].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+    return value
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit content hashes of byte spans, in order and apart, whatever their place in ``data``.
-
-    A sum of random numbers that (place, byte) select, so two different spans collide by chance alone, one pair in 2**64,
-    whatever their structure (a polynomial modulo 2**64 would collide for Thue-Morse words). Who merges by this hash and
-    must not be wrong compares bytes too.
-    """
-    n = len(data)
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    place = np.zeros(n, np.int32 if n < 1 << 31 else np.int64)
-    place[start] = start
-    np.maximum.accumulate(place, out=place)
-    np.subtract(np.arange(n, dtype=place.dtype), place, out=place)
-    far = None
-    if int((end - start).max()) > _REACH:
-        far = np.flatnonzero(place >= _REACH)
-        block = place[far] // _REACH
-        place[far] %= _REACH
-    place <<= 8
-    place |= data
-    value = _table().take(place, mode="clip")
-    if far is not None:
-        value[far] *= mix(block.astype(np.uint64)) | np.uint64(1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(value, out=prefix[1:])
-    return mix(prefix[end] - prefix[start] + (end - start).astype(np.uint64) * np.uint64(_GRAM))
+    """64-bit content hashes of byte spans, whatever their place in ``data``.
+
+    Eight bytes at a time go through a bijection that spreads every bit, so spans of up to eight bytes and one length never
+    collide, and longer ones by chance alone, whatever their structure (a polynomial modulo 2**64 would collide for
+    Thue-Morse words). Who merges by this hash and must not be wrong compares bytes too."""
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(np.uint64) * np.uint64(_GRAM))
+    long = size > _LONG
+    for k in np.flatnonzero(long).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    rows = np.flatnonzero(~long)
+    chunk, at, left = eights(data), start[rows].astype(np.int64), size[rows]
+    while len(rows):
+        out[rows] = mix(out[rows] ^ only(chunk[at], left))
+        more = np.flatnonzero(left > 8)
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    return out
 
 
 def bounds(data: np.ndarray, offsets: np.ndarray, inked: np.ndarray = INK) -> tuple[np.ndarray, np.ndarray]:
