@@ -405,8 +405,8 @@ def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataF
     """(doc_id, class_id, n_links) of linked documents, and the documents' table of _joined."""
     owners, classes, near = _joined(docs, n, threshold, False)
     near = kept(near)
-    several = owners.where("n > 1 AND size > 0").groupBy("doc_id").agg(F.min("sig").alias("u"), F.collect_set("sig").alias("all")).where(F.size("all") > 1)
-    edges = near.select("v", "u").where("v <> u").unionByName(several.select(F.explode("all").alias("v"), "u").where("v <> u"))
+    several = owners.where("n > 1 AND size > 0").select("doc_id", F.col("sig").alias("v"))
+    edges = near.select("v", "u").where("v <> u").unionByName(several.join(several.groupBy("doc_id").agg(F.min("v").alias("u")), "doc_id").where("v <> u").select("v", "u"))
     found = components(edges, "v", "u").select(F.col("doc_id").alias("sig"), F.col("group_id").alias("root"))
     least = classes.join(found, "sig").groupBy("root").agg(F.min("cid").alias("class_id"))
     links = near.groupBy(F.col("v").alias("sig")).agg(F.sum("c").alias("c"))
