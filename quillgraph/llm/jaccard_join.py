@@ -6,8 +6,10 @@ row for each linked document: its class (the least doc_id that links lead to, ov
 links it has. Copies are never expanded into pairs, and no link between different texts is lost.
 
 1. What is joined are distinct token sets, told apart by a 64-bit signature; a task sends the tokens of each set once,
-   however many copies it meets. Tokens go to token buckets; only those of two sets or more can count, and go on to
-   their sets, with the number of sets that have them. A set with fewer than threshold * size such tokens joins nothing.
+   however many copies it meets. Tokens go to token buckets under a short name of their set (task, 32 bits of signature),
+   as the signature would be most of an entry where buckets are many. Of a set's names, one for each task that met it,
+   the least is its owner. Tokens with two names or more go to the owner with that number, renumbered in their bucket;
+   those that no other set has are dropped there. A set with fewer than threshold * size left joins nothing.
 2. Sets are partitioned into groups of like ones: same least token hash, same size class. The token-group matrix is
    the union of the members' prefixes (rarest tokens first; size - ceil(t size) + l of them). A group can hold a
    partner of q only if q's prefix shares at least l tokens with that union (the extended prefix bound) and sizes fit.
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from .shared import PACKED, Packer, buckets, exchanged, gathered, join48, kept, packed_batch, place, repeated, runs, split48, texts, tidy, unpacked
+from .shared import FLUSH, PACKED, Packer, buckets, exchanged, gathered, join48, packed_batch, place, repeated, runs, settled, split48, texts, tidy, unpacked
 from .words import gram_at, grams, mix, slices, words
 
 N, THRESHOLD = 3, 0.5
@@ -67,12 +69,32 @@ def token_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.n
         yield part.lo, (key >> np.uint64(48)).astype(np.int64), key & _LOW48, part.hi - part.lo
 
 
+def _home(task: np.ndarray, name: np.ndarray, parts: int) -> np.ndarray:
+    """The bucket of a set's name."""
+    return place(mix((task.astype(np.uint64) << np.uint64(32)) | name), parts)
+
+
+def _named(sig: list[int], names: dict[int, int], taken: set[int]) -> None:
+    """Gives each new signature a name that no other set of the task has: its low 32 bits, or the next that are free."""
+    for x in sig:
+        name = x & 0xFFFFFFFF
+        while name in taken:
+            name = (name + 1) & 0xFFFFFFFF
+        names[x] = name
+        taken.add(name)
+
+
 def _spread(n: int, parts: int):
-    """Texts to token entries of distinct sets (kind 0, by token), documents (kind 1, by document) and set sizes (kind 2)."""
+    """Texts to token entries of distinct sets (kind 0, by token), documents (kind 1, by document) and set names (kind 2, by
+    signature)."""
 
     def each(batches):
-        tokens, owners, sizes = Packer(parts, "u8 u4 u2"), Packer(parts, "i8 u8 u4", 1), Packer(parts, "u8 u4", 2)
-        seen: set[int] = set()
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        tokens, owners, sets = Packer(parts, _TOKENS, zipped=True), Packer(parts, "i8 u8 u4", 1), Packer(parts, "u8 u4 u4 u4", 2)
+        names: dict[int, int] = {}
+        taken: set[int] = set()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, doc, token, rows in token_sets(batch.column("text"), n):
@@ -86,50 +108,78 @@ def _spread(n: int, parts: int):
                 own = ids[lo : lo + rows]
                 yield from owners.add(place(own, parts), own, sig, size)
                 _, first = np.unique(sig[some], return_index=True)
-                new = np.array([k for k in some[first].tolist() if int(sig[k]) not in seen], np.int64)
-                seen.update(sig[new].tolist())
+                new = np.array([k for k in some[first].tolist() if int(sig[k]) not in names], np.int64)
+                _named(sig[new].tolist(), names, taken)
+                name = np.zeros(rows, np.uint32)
+                name[new] = [names[x] for x in sig[new].tolist()]
                 fresh = np.zeros(rows, bool)
                 fresh[new] = True
                 mine = fresh[doc]
-                yield from tokens.add(place(mixed[mine], parts), sig[doc[mine]], *split48(token[mine]))
-                yield from sizes.add(place(sig[new], parts), sig[new], size[new])
-        for out in (tokens, owners, sizes):
+                of, (rest, bucket) = doc[mine], np.divmod(token[mine], np.uint64(parts))
+                yield from tokens.add(bucket, name[of], np.full(len(of), task, np.uint32), *_planes(rest, 6))
+                yield from sets.add(place(sig[new], parts), sig[new], np.full(len(new), task, np.uint32), name[new], size[new])
+        for out in (tokens, owners, sets):
             yield from out.flush()
 
     return each
 
 
+def _planes(x: np.ndarray, width: int) -> list[np.ndarray]:
+    """The lower bytes of a column, each on its own: what numbers leave of their upper bytes is then shrunk away."""
+    return list(np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8).T[:width])
+
+
+def _whole(planes: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(planes[0]), 8), np.uint8)
+    for k, plane in enumerate(planes):
+        out[:, k] = plane
+    return out.view("<u8").ravel()
+
+
+_TOKENS = " ".join(["u4 u4", *["u1"] * 6])  # name, task; planes of the token without what its bucket, the remainder, says
+_SHARED = " ".join(["u4 u4", *["u1"] * 12])  # name, bucket; planes of task, token's number in its bucket, names that have it
+
+
 def _shared_only(parts: int):
-    """Of a token bucket, the tokens that more than one set has, sent to their sets with that number."""
+    """Of a token bucket, the tokens that more than one name has, sent to their sets with that number."""
 
     def each(batches):
         from pyspark import TaskContext
 
         found = gathered(batches)
-        here = TaskContext.get().partitionId()  # this bucket, in which entries of the other kinds are at home already
-        for kind in (1, 2):
-            if kind in found:
-                yield packed_batch([(here, kind, b.to_pybytes()) for b in found.pop(kind)])
-        sig, low, high = unpacked(found.pop(0, []), "u8 u4 u2")
-        if not len(sig):
+        here = TaskContext.get().partitionId()  # this bucket, in which documents are at home already
+        if 1 in found:
+            yield packed_batch([(here, 1, b.to_pybytes()) for b in found.pop(1)])
+        sig, task, name, size = unpacked(found.pop(2, []), "u8 u4 u4 u4")
+        if len(sig):
+            order = np.lexsort((name, task, sig))
+            sig, task, name, size = sig[order], task[order], name[order], size[order]
+            at = runs(sig)
+            least, times = at[:-1], np.diff(at)
+            out = Packer(parts, "u4 u4 u8 u4 u4", 2)
+            yield from out.add(_home(task[least], name[least], parts), task[least], name[least], sig[least], size[least], times)
+            yield from out.flush()
+        name, task, *planes = unpacked(found.pop(0, []), _TOKENS, zipped=True)
+        if not len(task):
             return
-        token, sig = repeated(join48(low, high), sig)
-        order = np.lexsort((sig, token))
-        token, sig = token[order], sig[order]
-        keep = np.ones(len(sig), bool)
-        keep[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
-        token, sig = token[keep], sig[keep]
-        size = np.diff(runs(token))
-        often = np.repeat(size, size)
-        keep = often > 1
-        out = Packer(parts, "u8 u4 u2 u4")
-        yield from out.add(place(sig[keep], parts), sig[keep], *split48(token[keep]), often[keep])
+        token, task, name = repeated(_whole(planes), task, name)
+        del planes
+        at = runs(token)
+        often = np.diff(at)
+        number = np.repeat(np.arange(len(often), dtype=np.uint32), often)
+        order = np.lexsort((number, name, task))
+        task, name, number, often = task[order], name[order], number[order], np.repeat(often, often)[order]
+        out = Packer(parts, _SHARED, zipped=True)
+        for lo in range(0, len(task), FLUSH):
+            part = slice(lo, lo + FLUSH)
+            planes = [p for x in (task[part], number[part], often[part]) for p in _planes(x, 4)]
+            yield from out.add(_home(task[part], name[part], parts), name[part], np.full(len(name[part]), here, np.uint32), *planes)
         yield from out.flush()
 
     return each
 
 
-def _reduced(threshold: float):
+def _reduced(threshold: float, parts: int):
     """The bucket's documents with their sets (kind 0; n is the number of rows with that doc_id), and each set's shared
     tokens, rarest first (kind 1), if it can have a partner."""
 
@@ -150,17 +200,27 @@ def _reduced(threshold: float):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(m, np.int32)), pa.array(own[part]), pa.array(sig[part].view(np.int64)), pa.array(size[part].astype(np.int32)), pa.nulls(m, pa.int64()), pa.array(times[part].astype(np.int32)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], _FIELDS
                 )
-        known, size = unpacked(found.pop(2, []), "u8 u4")
-        known, first = np.unique(known, return_index=True)
-        size = size[first].astype(np.int64)
-        sig, low, high, often = unpacked(found.pop(0, []), "u8 u4 u2 u4")
-        if not len(sig):
+        task, name, known, size, times = unpacked(found.pop(2, []), "u4 u4 u8 u4 u4")
+        key = (task.astype(np.uint64) << np.uint64(32)) | name
+        order = np.argsort(key)
+        key, known, size, times = key[order], known[order], size[order].astype(np.int64), times[order]
+        name, bucket, *planes = unpacked(found.pop(0, []), _SHARED, zipped=True)
+        if not len(name) or not len(key):
             return
-        token = join48(low, high)
-        order = np.lexsort((token, often, sig))
-        sig, token = sig[order], token[order]
-        at = runs(sig)
-        which = np.searchsorted(known, sig[at[:-1]])
+        task, number, often = (_whole(planes[i : i + 4]) for i in (0, 4, 8))
+        del planes
+        entry = (task << np.uint64(32)) | name
+        which = np.minimum(np.searchsorted(key, entry), len(key) - 1)
+        keep = np.flatnonzero((key[which] == entry) & (often > times[which].astype(np.uint64)))  # the owner's, and not those of copies alone
+        which, often = which[keep], often[keep]
+        token = number[keep] * np.uint64(parts) + bucket[keep]
+        if not len(which):
+            return
+        order = np.lexsort((token, often, which))
+        which, token = which[order], token[order]
+        sig = known[which]
+        at = runs(which)
+        which = which[at[:-1]]
         able = np.flatnonzero(np.diff(at) >= np.ceil(threshold * size[which] - 1e-9))
         rows = []
         for k in able.tolist():
@@ -366,18 +426,18 @@ def _joined(docs: DataFrame, n: int, threshold: float, pairs: bool) -> tuple[Dat
     parts = buckets(spark)
     spread = exchanged(texts(docs).mapInArrow(tidy(_spread(n, parts)), PACKED), parts)
     shared = exchanged(spread.mapInArrow(tidy(_shared_only(parts)), PACKED), parts)
-    all_ = kept(shared.mapInArrow(tidy(_reduced(threshold)), _SETS))
+    all_ = settled(shared.mapInArrow(tidy(_reduced(threshold, parts)), _SETS))
     owners = all_.where("kind = 0").select("doc_id", "sig", "size", "n")
-    classes = kept(owners.where("size > 0").groupBy("sig").agg(F.min("doc_id").alias("cid"), F.count("*").alias("k")))
-    sets = kept(all_.where("kind = 1").select("sig", "size", "grp", "n", "low", "high").join(classes.select("sig", "k"), "sig"))
+    classes = settled(owners.where("size > 0").groupBy("sig").agg(F.min("doc_id").alias("cid"), F.count("*").alias("k")))
+    sets = settled(all_.where("kind = 1").select("sig", "size", "grp", "n", "low", "high").join(classes.select("sig", "k"), "sig"))
     matrix = exchanged(sets.select("sig", "size", "grp", "n", "low", "high").mapInArrow(tidy(_matrix_entries(threshold, parts)), PACKED), parts)
     t = F.lit(float(threshold))
     needed = F.floor(F.ceil(t * F.ceil(t * F.col("size") - 1e-9) - 1e-9) / 16) + 1
     opened = matrix.mapInArrow(tidy(_overlaps(threshold)), "sig long, grp long, c int, size int").groupBy("sig", "grp").agg(F.sum("c").alias("c"), F.max("size").alias("size")).where(F.col("c") >= needed)
-    opened = kept(opened.select("sig", "grp"))
+    opened = settled(opened.select("sig", "grp"))
     # Groups too large for a task, with the number of blocks on either side.
     large = sets.groupBy("grp").agg(F.count("*").alias("m")).join(opened.groupBy("grp").agg(F.count("*").alias("q")), "grp").where(f"m > {BLOCK} OR q > {BLOCK}")
-    large = kept(large.select("grp", F.ceil(F.col("m") / BLOCK).alias("nm"), F.ceil(F.col("q") / BLOCK).alias("nq")))
+    large = settled(large.select("grp", F.ceil(F.col("m") / BLOCK).alias("nm"), F.ceil(F.col("q") / BLOCK).alias("nq")))
 
     def blocked(side: DataFrame, role: int) -> DataFrame:
         mine, other = ("nm", "nq") if role == 0 else ("nq", "nm")
@@ -404,14 +464,14 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
 def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class_id, n_links) of linked documents, and the documents' table of _joined."""
     owners, classes, near = _joined(docs, n, threshold, False)
-    near = kept(near)
+    near = settled(near)
     several = owners.where("n > 1 AND size > 0").select("doc_id", F.col("sig").alias("v"))
     edges = near.select("v", "u").where("v <> u").unionByName(several.join(several.groupBy("doc_id").agg(F.min("v").alias("u")), "doc_id").where("v <> u").select("v", "u"))
     found = components(edges, "v", "u").select(F.col("doc_id").alias("sig"), F.col("group_id").alias("root"))
     least = classes.join(found, "sig").groupBy("root").agg(F.min("cid").alias("class_id"))
     links = near.groupBy(F.col("v").alias("sig")).agg(F.sum("c").alias("c"))
     of_set = classes.join(links, "sig", "left").join(found.join(least, "root").select("sig", "class_id"), "sig", "left")
-    of_set = kept(of_set.select("sig", "k", F.coalesce("class_id", "cid").alias("class_id"), (F.col("k") - 1 + F.coalesce("c", F.lit(0))).alias("n_links")).where("n_links > 0"))
+    of_set = settled(of_set.select("sig", "k", F.coalesce("class_id", "cid").alias("class_id"), (F.col("k") - 1 + F.coalesce("c", F.lit(0))).alias("n_links")).where("n_links > 0"))
     # Sets of very many copies meet their documents by broadcast: fewer than 100,000 sets can have over a 100,000th of all.
     total = owners.count()
     limit = max(10_000, total // 100_000)
@@ -454,7 +514,7 @@ def components(pairs: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     Each partition first shrinks to a spanning forest; then large-star and small-star steps (Kiveris et al., 2014) run
     on tables written in the shared folder until nothing changes. Raises if that takes more than ``rounds`` rounds.
     """
-    edges = kept(pairs.select(F.col(a).alias("v"), F.col(b).alias("u")).mapInArrow(tidy(_forest), "v long, u long").distinct())
+    edges = settled(pairs.select(F.col(a).alias("v"), F.col(b).alias("u")).mapInArrow(tidy(_forest), "v long, u long").distinct())
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -463,7 +523,7 @@ def components(pairs: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u"))
         low = down.groupBy("v").agg(F.min("u").alias("m"))
         small = down.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").unionByName(low.select("v", F.col("m").alias("u")))
-        edges = kept(small.distinct())
+        edges = settled(small.distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -480,9 +540,9 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Da
     linked, owners = _linked(docs, n, threshold)
     gone = linked.where("doc_id <> class_id").select(F.col("doc_id").alias("__quill_id"))
     again = owners.where("n > 1").select(F.col("doc_id").alias("__quill_id")).distinct()
-    out = kept(gone.unionByName(again).distinct())
+    out = settled(gone.unionByName(again).distinct())
     alone = docs.join(out, docs["doc_id"].cast("long") == out["__quill_id"], "left_anti")
-    again = kept(again.join(gone, "__quill_id", "left_anti"))
+    again = settled(again.join(gone, "__quill_id", "left_anti"))
     if again.isEmpty():
         return alone
     rows = docs.join(again, docs["doc_id"].cast("long") == again["__quill_id"])

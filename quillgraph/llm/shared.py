@@ -62,6 +62,23 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """kept(df), whose own exchanges' files go from disk when it is written, not when the driver next collects its garbage."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return kept(df)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -134,8 +151,9 @@ def packed_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 class Packer:
     """Collects entries of the given column types and gives them out, by bucket, as batches of PACKED."""
 
-    def __init__(self, n: int, kinds: str, kind: int = 0) -> None:
-        self.n, self.types, self.kind, self.size, self.parts = n, [np.dtype(k) for k in kinds.split()], kind, 0, []
+    def __init__(self, n: int, kinds: str, kind: int = 0, zipped: bool = False) -> None:
+        """zipped: blobs are compressed, by a code that spares single bits where the shuffle's spares repeated bytes alone."""
+        self.n, self.types, self.kind, self.zipped, self.size, self.parts = n, [np.dtype(k) for k in kinds.split()], kind, zipped, 0, []
 
     def add(self, bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(bucket):
@@ -155,17 +173,27 @@ class Packer:
         rows, at = [], 0
         for b, end in enumerate(ends.tolist()):
             if end > at:
-                rows.append((b, self.kind, b"".join([np.int64(end - at).tobytes(), *(c[at:end].tobytes() for c in columns)])))
+                body = [c[at:end].tobytes() for c in columns]
+                if self.zipped:
+                    body = [_codec().compress(b"".join(body), asbytes=True)]
+                rows.append((b, self.kind, b"".join([np.int64(end - at).tobytes(), *body])))
                 at = end
         yield packed_batch(rows)
 
 
-def unpacked(blobs: list, kinds: str) -> list[np.ndarray]:
+@functools.cache
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", 1)
+
+
+def unpacked(blobs: list, kinds: str, zipped: bool = False) -> list[np.ndarray]:
     """The columns of all the given blobs, one after another."""
     types = [np.dtype(k) for k in kinds.split()]
     parts: list[list] = [[] for _ in types]
     for blob in blobs:
         n, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
+        if zipped:
+            blob, at = _codec().decompress(memoryview(blob)[8:], n * sum(t.itemsize for t in types)), 0
         for part, t in zip(parts, types, strict=True):
             part.append(np.frombuffer(blob, t, n, at))
             at += n * t.itemsize

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import time
 
 import pytest
 from quillgraph.llm import jaccard_join as jj
@@ -101,6 +102,46 @@ def test_classes_equal_brute_force(spark, monkeypatch, block, threshold):
     assert len(found) > 70
 
 
+def test_classes_over_tasks_equal_brute_force(spark):
+    """Copies met by several tasks have several names; tokens that only they have lead nowhere."""
+    rows = awkward() + near_copies() + [(i, prose(50, i % 4)) for i in range(2000, 2040)] + [(3000, prose(50, 1) + " end")]
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jj.classes(frame(spark, rows).repartition(5)).collect()}
+    assert found == brute_classes(rows)
+
+
+def test_names_differ_within_a_task():
+    names, taken = {}, set()
+    jj._named([5, 5 + (1 << 32), 6, (1 << 32) - 1, (1 << 33) - 1], names, taken)
+    jj._named([5 + (2 << 32)], names, taken)
+    assert len(set(names.values())) == len(names) == len(taken) == 6
+    assert max(taken) < 1 << 32
+    assert names[5] == 5 and names[(1 << 32) - 1] == (1 << 32) - 1
+
+
+@pytest.mark.parametrize("parts", [12, 1000])
+def test_an_entry_takes_few_bytes_however_many_the_buckets(spark, parts):
+    """A signature beside each token made 14 bytes of it where buckets are many."""
+    rows = [(i, prose(200, i)) for i in range(400)]
+    out = jj.texts(frame(spark, rows)).coalesce(1).mapInArrow(jj._spread(3, parts), jj.PACKED)
+    sent = sum(len(r.blob) for r in out.where("kind = 0").collect())
+    assert sent < 10 * sum(len(tokens(t)) for _, t in rows)
+
+
+def test_exchanges_leave_no_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+
+    before = files()
+    table = jj.settled(spark.range(20_000).selectExpr("id % 1001 AS v").groupBy("v").count())
+    left = 100
+    while left and {x for x in files() - before if x.startswith("shuffle_")}:  # they go in the background
+        time.sleep(0.1)
+        left -= 1
+    assert left
+    assert table.count() == 1001
+
+
 def test_rows_that_repeat_an_id_leave_the_least(spark):
     rows = [(1, "b c d e f g"), (1, "a c d e f g"), (2, None), (2, None), (3, ""), (3, "zz y x"), (4, "b c d e f g"), (None, "b c d e f g")]
     kept = sorted(((r.doc_id, r.text) for r in jj.one_of_each(frame(spark, rows)).collect()), key=repr)
