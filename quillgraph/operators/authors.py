@@ -226,7 +226,13 @@ def apply_aliases(authors: DataFrame, citations: DataFrame, aliases: DataFrame,
 
 
 def reference_citers_of(citations: DataFrame, edges: DataFrame) -> DataFrame:
-    return citations.where("record_kind = 'reference'").select("author_id", F.col("record_id").alias("cited_id")).distinct().join(edges, "cited_id").groupBy("author_id").agg(F.countDistinct("citing_id").alias("n"))
+    """(author_id, n): how many papers cite works of each author. Papers go by number, and a work's go to its authors as one
+    array, so that no row is made for an author and a paper; a task holds one author's citations at a time, 8 bytes each."""
+    papers = numbered(edges.select("citing_id").distinct(), "citing_id", name="__paper")
+    citers = edges.join(papers, "citing_id").groupBy("cited_id").agg(F.collect_set("__paper").alias("__papers"))
+    works = citations.where("record_kind = 'reference'").select("author_id", F.col("record_id").alias("cited_id")).distinct()
+    n = F.size(F.array_distinct(F.flatten(F.collect_list("__papers")))).cast("long")
+    return works.join(citers, "cited_id").groupBy("author_id").agg(n.alias("n"))
 
 
 def reference_citers(edges: DataFrame) -> DataFrame:

@@ -122,3 +122,13 @@ def test_aliases_merge_counts(spark):
     got = {r.id: (r.n_occurrences, r.n_reference_citations, r.n_distinct_papers_citing) for r in table.collect()}
     assert got == {"a-roe-jane": (2, 2, 2), "a-lee-al": (1, 1, 1)}
     assert sorted({r.author_id for r in cites.collect()}) == ["a-lee-al", "a-roe-jane"]
+
+
+def test_citing_papers_are_counted_once_without_a_row_a_pair(spark):
+    from quillgraph.operators import authors as au
+
+    works = spark.createDataFrame([("a", "reference", "r1"), ("a", "reference", "r2"), ("a", "paper", "r3"), ("b", "reference", "r2"), ("c", "reference", "r9")], "author_id string, record_kind string, record_id string")
+    edges = spark.createDataFrame([("p1", "r1"), ("p1", "r2"), ("p2", "r2"), ("p2", "r2"), ("p3", "r3")], "citing_id string, cited_id string")
+    found = au.reference_citers_of(works, edges)
+    assert {tuple(r) for r in found.collect()} == {("a", 2), ("b", 2)}
+    assert "citing_id" not in found._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
