@@ -51,11 +51,21 @@ def reference_matches(titles: DataFrame) -> DataFrame:
             np.add.at(out[k], np.frombuffer(t.encode("utf-32-le"), np.uint32) % 64, 1)
         return out
 
+    def couples(titles: list[str]) -> np.ndarray:
+        """How often each of 128 kinds of neighbouring letters is in each title."""
+        out = np.zeros((len(titles), 128), np.int16)
+        for k, t in enumerate(titles):
+            c = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64)
+            out[k] = np.minimum(np.bincount((c[:-1] * 31 + c[1:]) % 128, minlength=128), 16000)
+        return out
+
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
         gold, found = ([str(t or "").strip().lower() for t in pdf.Title[pdf.side == s]] for s in ("gold", "pred"))
         n, hits, left = len(found), 0, np.ones(len(found), bool)
-        have, size, exact = letters(found), np.array([len(t) for t in found], float), {}
+        have, two, size, exact = letters(found), couples(found), np.array([len(t) for t in found], float), {}
+        ranked = np.argsort(size, kind="stable")
+        sizes = size[ranked]
         for k in reversed(range(n)):
             exact.setdefault(found[k], []).append(k)  # the first is the last of its list
         for title, own in zip(gold, letters(gold), strict=True):
@@ -63,9 +73,17 @@ def reference_matches(titles: DataFrame) -> DataFrame:
             if same:  # nothing is nearer than an equal title
                 best = same.pop()
             else:
-                # A subsequence has no more of a letter than either side; what can't reach the threshold by that is out.
-                bound = np.where(size + len(title) > 0, 200 * np.minimum(have, own).sum(1) / np.maximum(size + len(title), 1), 100)
-                scores = {int(k): ratio(title, found[k]) for k in np.flatnonzero(left & (bound >= FUZZY - 1e-9))}
+                # Lengths must be near; a subsequence has no more of a letter than either side; and each letter put in or
+                # left out changes three couples of letters at most. What can't reach the threshold by these is out.
+                n_own, slack = len(title), 2 - FUZZY / 100
+                lo, hi = np.searchsorted(sizes, n_own * (FUZZY / 100) / slack - 1e-6), np.searchsorted(sizes, n_own * slack / (FUZZY / 100) + 1e-6, "right")
+                near = np.sort(ranked[lo:hi])
+                near = near[left[near]]
+                total = size[near] + n_own
+                near = near[np.where(total > 0, 200 * np.minimum(have[near], own).sum(1) / np.maximum(total, 1), 100) >= FUZZY - 1e-9]
+                apart = np.abs(two[near] - couples([title])).sum(1)
+                near = near[apart <= 3 * (1 - FUZZY / 100) * (size[near] + n_own) + 1e-6]
+                scores = {int(k): ratio(title, found[k]) for k in near}
                 best = max(scores, key=scores.__getitem__, default=None)
                 if best is None or scores[best] < FUZZY:
                     continue

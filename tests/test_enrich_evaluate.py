@@ -163,3 +163,17 @@ def test_greedy_matching_equals_comparing_all(spark):
         expected[p] = (len(gold), n, hits, n - hits, len(gold) - hits)
     got = ev.reference_matches(spark.createDataFrame(rows, "paper_id string, side string, ord int, Title string"))
     assert {x.paper_id: tuple(x)[1:] for x in got.collect()} == expected
+
+
+def test_titles_of_the_same_letters_in_another_order_are_not_compared(monkeypatch):
+    import pandas as pd
+    from quillgraph.operators import evaluate as ev
+
+    compared = []
+    monkeypatch.setattr(ev, "ratio", lambda a, b, own=ev.ratio: compared.append((a, b)) or own(a, b))
+    match = ev.reference_matches(type("Rows", (), {"groupBy": lambda self, _: self, "applyInPandas": lambda self, f, _: f})())
+    words = "water forest games trust giving commons rules field data theory".split()
+    gold = [" ".join(words[k:] + words[:k]) for k in range(10)]
+    rows = [("p", "gold", k, t) for k, t in enumerate(gold)] + [("p", "pred", k, t[::-1]) for k, t in enumerate(gold)] + [("p", "pred", 10, gold[3] + "s")]
+    assert match(pd.DataFrame(rows, columns=["paper_id", "side", "ord", "Title"])).values.tolist()[0][1:] == [10, 11, 1, 10, 9]
+    assert len({b for _, b in compared}) == 1
